@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, fresh, table, utf8
 
@@ -196,7 +197,7 @@ def detect(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *, t
     langs, net = model
     names = fresh(docs, *(prefix + n for n in ("lang", "confidence", "letters", "positions")))
     shared = docs.sparkSession.sparkContext.broadcast((langs, net))
-    schema = docs.schema.add(names[0], "string").add(names[1], "double").add(names[2], "long").add(names[3], "array<bigint>")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.LongType(), T.ArrayType(T.LongType()))))])
     where = docs.columns.index(text_col)
 
     def run(batches):
