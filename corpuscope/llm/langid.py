@@ -181,7 +181,11 @@ def score(p: dict[str, np.ndarray], buf: np.ndarray, off: np.ndarray, lanes: int
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES, steps: int = STEPS) -> tuple[list[str], dict[str, np.ndarray]]:
     """Languages in order, and the network. Rows with a null or empty text or a null label are no examples. With no examples: ([], untrained)."""
     t, y = F.col(text_col), F.col(lang_col)
-    sample = labelled.where(t.isNotNull() & y.isNotNull() & (F.length(t) > 0)).select(y.alias("y"), F.substring(t, 1, text_bytes).alias("t"), F.xxhash64(t).alias("k")).orderBy("k", "y", "t").limit(rows).select("y", "t").collect()
+    labelled = labelled.where(t.isNotNull() & y.isNotNull() & (F.length(t) > 0)).withColumn("k", F.xxhash64(t))
+    # the smallest hashes; first only the hashes, so that no task sends texts that aren't taken
+    cut = labelled.select("k").orderBy("k").limit(rows).agg(F.max("k")).first()[0]
+    sample = labelled.where(F.col("k") <= F.lit(cut)).select(y.alias("y"), F.substring(t, 1, text_bytes).alias("t")).dropDuplicates().collect() if cut is not None else []
+    sample.sort(key=lambda r: (r.t, r.y))
     langs = sorted({r.y for r in sample})
     at = {k: i for i, k in enumerate(langs)}
     return langs, train([r.t.encode() for r in sample], [at[r.y] for r in sample], max(1, len(langs)), steps)

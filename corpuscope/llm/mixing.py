@@ -33,7 +33,44 @@ def n_tokens(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r]+")), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, float], weights: DataFrame | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: int | None = None, seed: str = SEED, interval_rows: int = INTERVAL_ROWS) -> DataFrame:
+def decide(docs: DataFrame, targets: dict[str, float], weights: DataFrame | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_tokens: int | None = None, seed: str = SEED, interval_rows: int = INTERVAL_ROWS) -> DataFrame:
+    """What mix_sources() takes: d_id, d_tie (hash of the text), d_source, mix_tokens, mix_key, mix_copies."""
+    src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))
+    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("d_id"), F.xxhash64(F.col(text_col)).alias("d_tie"), src.alias("src"), F.col(source_col).alias("d_source"), n_tokens(F.col(text_col)).alias("mix_tokens"))
+    if weights is not None:
+        ws = weights.groupBy(F.col(id_col).alias("w_id")).agg(F.max("weight").alias("w")).where(F.col("w_id").isNotNull())
+        d = d.join(ws, F.col("d_id") == F.col("w_id"), "left").drop("w_id")
+    else:
+        d = d.withColumn("w", F.lit(None).cast("double"))
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("d_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    d = d.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).withColumn("mix_key", -F.log(u) / F.col("w")).drop("w")
+    # totals by source: intervals follow the number of rows
+    per = d.groupBy("src").agg(F.sum("mix_tokens").alias("total"), F.count(F.lit(1)).alias("n"))
+    weight = F.lit(float(targets.get("*", 0.0)))
+    for k, v in targets.items():
+        if k != "*":
+            weight = F.when(F.col("src") == "=" + k, F.lit(float(v))).otherwise(weight)
+    allw = Window.partitionBy(F.lit(1))
+    size = F.lit(int(total_tokens)) if total_tokens is not None else F.sum("total").over(allw)
+    share = F.coalesce(F.try_divide(F.col("share"), F.sum("share").over(allw)), F.lit(0.0))
+    per = per.withColumn("share", weight).withColumns({"budget": F.floor(share * size + _EPS)})
+    per = per.withColumns({"epochs": F.when(F.col("total") > 0, F.floor(F.col("budget") / F.col("total"))).otherwise(F.lit(1)).cast("long"), "intervals": (F.floor(F.col("n") / interval_rows) + 1).cast("long")})
+    per = checkpointed(per.withColumn("rest", (F.col("budget") - F.col("epochs") * F.col("total")).cast("long")).select(F.col("src").alias("p_src"), "epochs", "rest", "intervals"))
+    few = F.broadcast if per.count() <= BROADCAST_ROWS else (lambda x: x)  # one row per source, counted before it is broadcast
+    # exp(-key) is u^(1/w), in (0, 1); its intervals are in reverse order of the key
+    step = F.greatest(F.lit(0), F.floor((1 - F.exp(-F.col("mix_key"))) * F.col("intervals"))).cast("long")
+    d = d.join(few(per), F.col("src") == F.col("p_src")).withColumn("b", F.least(step, F.col("intervals") - 1))
+    sums = d.groupBy("src", "b").agg(F.sum("mix_tokens").alias("bt"))
+    before = F.coalesce(F.sum("bt").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("src").alias("s_src"), F.col("b").alias("s_b"), before.alias("start"))
+    d = d.join(sums, (F.col("src") == F.col("s_src")) & (F.col("b") == F.col("s_b")))
+    within = Window.partitionBy("src", "b").orderBy("mix_key", "d_id", "d_tie").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("upto", F.col("start") + F.sum("mix_tokens").over(within))
+    d = d.withColumn("mix_copies", F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), F.lit(1)).otherwise(F.lit(0)))
+    return d.where(F.col("mix_copies") > 0).select("d_id", "d_tie", "d_source", "src", "mix_tokens", "mix_key", "mix_copies")
+
+
+def mix_sources(docs: DataFrame, targets: dict[str, float], weights: DataFrame | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents that the mixture takes, with how many copies of each.
 
     docs keeps all its columns; added are mix_tokens (words), mix_key and mix_copies (at least 1), whose
@@ -42,48 +79,15 @@ def mix_sources(docs: DataFrame, targets: dict[str, float], weights: DataFrame |
 
     Nulls: a null source is a source of its own, with the weight "*"; a null text has 0 tokens and
     is taken with every epoch, and with the fraction where its key falls. Rows with a null id are dropped, for they have no key.
-    Repeated ids share a key; ties are in order of the text's hash. Equal rows are all counted. Of repeated ids in
-    weights the greatest weight counts. Empty docs give an empty result. A source with no tokens at all takes one epoch.
+    Repeated ids share a key; ties are in order of the text's hash. Rows of equal id, source and text are taken together: all or none, and all count.
+    Of repeated ids in weights the greatest weight counts. Empty docs give an empty result. A source with no tokens at all takes one epoch.
     """
-    key, tokens, copies, w, b, b0, tie, src, target = fresh(docs, "mix_key", "mix_tokens", "mix_copies", "mix_w", "mix_b", "mix_b0", "mix_tie", "mix_src", "mix_target")
-    d = docs.where(F.col(id_col).isNotNull())
-    if weights is not None:
-        # of all the columns only these two, under a name that docs lacks
-        other = fresh(docs, "mix_id")[0]
-        ws = weights.groupBy(F.col(id_col).alias(other)).agg(F.max("weight").alias(w)).where(F.col(other).isNotNull())
-        d = d.join(ws, F.col(id_col) == F.col(other), "left").drop(other)
-    else:
-        d = d.withColumn(w, F.lit(None).cast("double"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    d = d.withColumns({w: F.when(F.col(w) > 0, F.col(w)).otherwise(F.lit(1.0)), tokens: n_tokens(F.col(text_col)), tie: F.xxhash64(F.col(text_col)), src: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))})
-    d = d.withColumn(key, -F.log(u) / F.col(w))
-    slim = d.select(src, key, tokens)
-    # totals by source: intervals follow the number of rows
-    per = slim.groupBy(src).agg(F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("n"))
-    names = {k: float(v) for k, v in targets.items() if k != "*"}
-    weight = F.lit(float(targets.get("*", 0.0)))
-    for k, v in names.items():
-        weight = F.when(F.col(src) == "=" + k, F.lit(v)).otherwise(weight)
-    allw = Window.partitionBy(F.lit(1))
-    size = F.lit(int(total_tokens)) if total_tokens is not None else F.sum("total").over(allw)
-    per = per.withColumn("share", weight).withColumns({"budget": F.floor(F.col("share") / F.sum("share").over(allw) * size + _EPS)})
-    per = per.withColumns({"epochs": F.when(F.col("total") > 0, F.floor(F.col("budget") / F.col("total"))).otherwise(F.lit(1)).cast("long"), "intervals": (F.floor(F.col("n") / interval_rows) + 1).cast("long")})
-    per = per.withColumn("rest", (F.col("budget") - F.col("epochs") * F.col("total")).cast("long")).select(F.col(src).alias("p_src"), "epochs", "rest", "intervals")
-    per = checkpointed(per)  # one row per source, counted before it is broadcast
-    few = F.broadcast if per.count() <= BROADCAST_ROWS else (lambda x: x)
-    # exp(-key) is u^(1/w), in (0, 1); its intervals are in reverse order of the key
-    step = F.greatest(F.lit(0), F.floor((1 - F.exp(-F.col(key))) * F.col("intervals"))).cast("long")
-    slim = slim.join(few(per), F.col(src) == F.col("p_src")).withColumn(b, F.least(step, F.col("intervals") - 1))
-    sums = slim.groupBy(src, b).agg(F.sum(tokens).alias("bt"))
-    sums = sums.withColumn(b0, F.coalesce(F.sum("bt").over(Window.partitionBy(src).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.select(F.col(src).alias("s_src"), F.col(b).alias("s_b"), F.col(b0).alias("start"))
-    full = d.join(few(per), F.col(src) == F.col("p_src")).withColumn(b, F.least(step, F.col("intervals") - 1))
-    # only intervals that can decide: rows wholly within or beyond the rest need no order
-    full = full.join(sums, (F.col(src) == F.col("s_src")) & (F.col(b) == F.col("s_b")))
-    w_in = Window.partitionBy(src, b).orderBy(key, id_col, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = full.withColumn(target, F.col("start") + F.sum(tokens).over(w_in))
-    full = full.withColumn(copies, F.col("epochs") + F.when(F.col(target) <= F.col("rest"), F.lit(1)).otherwise(F.lit(0)))
-    return full.where(F.col(copies) > 0).select(*[F.col(c) for c in docs.columns], F.col(tokens), F.col(key), F.col(copies))
+    names = fresh(docs, "mix_tokens", "mix_key", "mix_copies", "mix_id_", "mix_tie_", "mix_src_", "mix_tie", "mix_src")
+    took = decide(docs, targets, weights, id_col=id_col, source_col=source_col, text_col=text_col, **options).dropDuplicates(["d_id", "d_tie", "src"])
+    took = took.select(*(F.col(c).alias(n) for c, n in zip(("mix_tokens", "mix_key", "mix_copies", "d_id", "d_tie", "src"), names)))
+    d = docs.withColumns({names[6]: F.xxhash64(F.col(text_col)), names[7]: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))})
+    out = d.join(took.hint("shuffle_hash"), (F.col(id_col) == F.col(names[3])) & (F.col(names[6]) == F.col(names[4])) & (F.col(names[7]) == F.col(names[5])))
+    return out.select(*docs.columns, *names[:3])
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -95,8 +99,8 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(table(spark, sf_dir, "documents"), TARGETS, quality_weights(table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "source", "mix_tokens", "mix_copies")
+    took = decide(table(spark, sf_dir, "documents"), TARGETS, quality_weights(table(spark, sf_dir, "labels")))
+    return took.select(F.col("d_id").alias("doc_id"), F.col("d_source").alias("source"), "mix_tokens", "mix_copies")
 
 
 def sql() -> str:

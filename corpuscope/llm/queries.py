@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import langid, mixing
+from . import decontam, dedup, jaccard, langid, lm, mixing, pii, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_pii": pii.op2_pii,
+        "op3_lm_scoring": lm.op3_lm_scoring,
+        "op6_decontamination": decontam.op6_decontamination,
         "op5_language_id": langid.op5_language_id,
         "op7_source_mixing": mixing.op7_source_mixing,
+        "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+        "op9_repeat_removal": dedup.op9_repeat_removal,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.sql()}
+    return {"op6_decontamination": decontam.sql(), "op7_source_mixing": mixing.sql(), "op8_ngram_jaccard": jaccard.sql(), "op9_repeat_removal": dedup.sql()}
