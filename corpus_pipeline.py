@@ -1,25 +1,43 @@
-"""The corpus pipeline: documents in, a deduplicated, decontaminated, redacted mixture out."""
+"""The corpus pipeline: documents in, a deduplicated, decontaminated, redacted mixture out.
+
+Every stage takes all that its predecessor kept. All but the last give the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import langid, mixing
+from corpuscope.llm import decontam, jaccard, langid, mixing, pii
 from corpuscope.llm.common import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known. The network is fitted on the documents' own labels."""
+    """Documents whose language is known. The network is fitted on a bounded sample of the documents' own labels."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of similar ones."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with identifiers redacted; n_chars follows the text."""
+    return pii.redact(docs, length_col="n_chars").select(*docs.columns)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The weighted mixture of sources; adds mix_tokens, mix_key and mix_copies."""
     return mixing.mix_sources(docs, mixing.TARGETS, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
-STAGES = [("language", language), ("mixture", mixture)]
-#: A trained network decides in the first stage, so no SQL gives these rows.
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("private_data", private_data), ("mixture", mixture)]
+#: A trained network decides in the first stage, and transducers rewrite texts in the fourth, so no SQL gives these rows.
 ORACLE_SQL = None
 
 

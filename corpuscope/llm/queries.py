@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, jaccard, langid, lm, mixing, pii, toxicity
+from . import chat, decontam, dedup, jaccard, langid, lm, mixing, neighbours, pii, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_lm_scoring": lm.op3_lm_scoring,
         "op6_decontamination": decontam.op6_decontamination,
+        "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_language_id": langid.op5_language_id,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
         "op9_repeat_removal": dedup.op9_repeat_removal,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
