@@ -31,8 +31,10 @@ _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?:[\s,.\-]{{1,3}}(?:{_WORD}|
 _SPELLED_ONE = re.compile(rf"(?i)({_WORD})|([\s,.\-]+)")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*")
-#: name at host dot domain, in words: the dot is what tells it from prose
-_SAID = re.compile(r"(?i)(?<![\w.+-])([\w.+-]+)(\s+at\s+|\s*@\s*)([\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*\s+dot\s+[a-z]{2,12})(?![\w-])")
+#: Last labels that end a disguised address in words; those that are words of prose too ("in", "it", "is", "me") are left out.
+_TLD = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|dev|app|tech|online|site|xyz|eu|uk|us|de|fr|es|ch|nl|pl|pt|br|mx|ar|ru|cn|jp|kr|au|nz|ca|se|dk|fi|cz|ie|za|tv|example|test"
+#: name at host dot domain, in words: the dot and what follows it tell it from prose
+_SAID = re.compile(rf"(?i)(?<![\w.+-])([\w.+-]+)(\s+at\s+|\s*@\s*)([\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*\s+dot\s+(?:{_TLD}))(?![\w-])")
 _SAID_PART = re.compile(r"(?i)\s+dot\s+")
 _SAID_LEFT = re.compile(r"(?i)([\w-]+)\s+dot\s+(?=[\w.+-]+@)")
 
