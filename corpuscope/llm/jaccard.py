@@ -1,18 +1,19 @@
 """N-gram Jaccard join by universe partition and pigeonhole.
 
-A document is the set of its n-grams of words. Sets whose Jaccard similarity is at least t differ in at most
-H = c (|r| + |s|) grams, c = (1 - t) / (1 + t). Sizes fall into bands so wide that partners are in the same band or in
-neighbouring ones; a pair belongs to the scheme of its larger set's band. A scheme cuts the universe of grams, by hash, into
-segments. If the segments of r count more than H units, one of them holds the same subset in s, or one that differs by a single gram
-where r counts it twice; so the two share an index entry. What a band's segments do is allocated by cost, from the sizes of all
-documents and the popularity of all grams:
-
-* 0: a non-empty segment is indexed by its subset and counts one unit;
-* +1: it is also indexed by each subset without one gram (its one-deletion neighbourhood) and counts two units;
-* -1: a subset of one gram that very many documents have is not indexed and counts nothing.
-
-A set whose segments don't count more than H units for a partner no larger than itself is looked up by all its grams instead: every
-other set that holds one of its rarest grams, as many as the threshold asks for, is a candidate. Candidates are verified exactly.
+A document is the set of its n-grams of words. Sizes fall into bands so wide that sets whose Jaccard similarity is at least t are in the same
+band or in neighbouring ones; a pair belongs to the scheme of its larger set's band. A scheme cuts the universe of grams, by hash, into
+segments; two similar sets must agree in some segments, or nearly so, and an index of segment subsets finds them. What a segment does is allocated by cost, from
+the sizes of all documents and the popularity of all grams:
+
+* fine segments, of a gram each. T = ceil(t |r|) of them agree. Of both sets the T - AGREE whose grams are the most popular (by an order that is the
+  same for all) are left out (-1), the others are indexed (0): the AGREE rarest ones that agree are among them, and pairs with fewer in common
+  aren't candidates. Where T is less, it takes AGREE's place. All fine bands share their entries.
+* coarse segments, of DELETION grams on average. The sets differ in at most H = c (|r| + |s|) grams, c = (1 - t) / (1 + t). A segment counts one unit by its
+  subset, and two as its one-deletion neighbourhood is indexed too (+1). If r has more than H units, one entry agrees. These entries are more, but
+  hardly any two unlike sets share one, so they are for bands in which unpopular grams alone would bring very many candidates.
+
+A set in a coarse band whose units don't exceed H is looked up by its grams instead: every other set that holds one of its first grams, as many as the
+threshold asks for, is a candidate. Candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, buckets, byte_class, checkpointed, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
+from .common import CHUNK, PACKED, buckets, byte_class, checkpointed, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
 
-NGRAM = 3
-THRESHOLD = 0.6
-#: Grams of a segment on average: with subsets only, and with one-deletion neighbourhoods.
-PLAIN, DELETION = 1.15, 2.6
-#: A gram's cell is popular if so large a share of the documents has it; cells of the popularity table.
-POPULAR, CELLS = 0.002, 1 << 22
+NGRAM = 4
+THRESHOLD = 0.5
+#: Grams of a coarse segment on average; bands of smaller sets are always fine.
+DELETION, SMALL = 2.0, 150
+#: A gram is popular from this share of the documents on; cells of the table of popularity, by hash.
+POPULAR, CELLS = 0.0002, 1 << 22
+#: Fine segments that must agree.
+AGREE = 6
 #: Cost of a candidate pair, in index entries.
 PAIR_COST = 4.0
 #: Candidate sets and probes of at most so many are found by a broadcast array, more by a shuffle or in several passes.
@@ -75,197 +78,307 @@ class Bands:
         while low[-1] < 1 << 40:
             low.append(math.floor(low[-1] / t) + 1)
         self.low = np.array(low)
-        self.deletion = np.zeros(len(low), bool)
+        self.coarse = np.zeros(len(low), bool)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, "right") - 1
 
     def segments(self, band: np.ndarray) -> np.ndarray:
-        top = self.low[band + 1] - 1
-        return np.where(self.deletion[band], np.maximum(2, np.ceil(top / DELETION)), np.where(top < 24, 64, np.ceil(top / np.where(top < 150, PLAIN * 0.75, PLAIN)))).astype(np.int64)
+        return np.maximum(2, np.ceil((self.low[band + 1] - 1) / DELETION)).astype(np.int64)
 
     def allocate(self, docs: np.ndarray, single: float) -> None:
-        """Chooses the cheaper kind of segments for each band. docs: documents by band; single: the chance that two documents share a given gram of one, in a segment of its own, summed over grams that aren't popular."""
+        """Chooses the cheaper kind of segments for each band. docs: documents by band; single: the expected number of unpopular grams that two documents share."""
         for b in np.flatnonzero(docs):
-            n, top = float(docs[b]), float(self.low[b + 1] - 1)
-            plain = n * top * (1 - math.exp(-PLAIN)) / PLAIN + PAIR_COST * n * n * single * math.exp(-2 * PLAIN)
-            deletion = n * top * ((1 - math.exp(-DELETION)) / DELETION + 1 - math.exp(-DELETION)) + PAIR_COST * n * n * single * math.exp(-2 * DELETION)
-            self.deletion[b] = deletion < plain
+            n, top, e = float(docs[b]), float(self.low[b + 1] - 1), math.exp(-DELETION)
+            fine = n * top * (1 - self.t) + PAIR_COST * n * n * single * (1 - self.t) ** 2
+            coarse = 2 * n * top * ((1 - e) / DELETION + 1 - e) + PAIR_COST * n * n * single * e * e
+            self.coarse[b] = coarse < fine and top >= SMALL
 
 
-def _keys(x: np.ndarray, row: np.ndarray, rows: int, band: np.ndarray, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index entries in the schemes of band (by row): signature and row; and the units of each row.
+def _least(size: np.ndarray, t: float) -> np.ndarray:
+    """Grams that a set has in common with any partner, at least."""
+    return np.ceil(t * size - 1e-9).astype(np.int64)
 
-    x: grams, by row.
-    """
+
+def _fine(x: np.ndarray, row: np.ndarray, size: np.ndarray, t: float, popular: np.ndarray) -> np.ndarray:
+    """Which grams are indexed: of each row all but the T - min(AGREE, T) most popular ones; among grams of a level the order is that of their hashes."""
+    level = popular[x & np.uint64(len(popular) - 1)].astype(np.int64) if len(popular) else np.zeros(len(x), np.int64)
+    order = np.argsort((row << 8) | level, kind="stable")
+    start = np.cumsum(size) - size
+    rank = np.arange(len(x)) - start[row]
+    keep = np.zeros(len(x), bool)
+    least = _least(size, t)
+    keep[order[rank < (size - least + np.minimum(AGREE, least))[row]]] = True
+    return keep
+
+
+def _coarse(x: np.ndarray, row: np.ndarray, rows: int, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries in the coarse schemes of band (by row): signatures and rows; and the units of each row. x: grams, by row."""
     if not len(x):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
+        z = np.zeros(0, np.int64)
+        return z.astype(np.uint64), z, np.zeros(rows, np.int64)
     m = bands.segments(band)
     s = mix(x ^ _SALT)
-    seg = (s % m[row].astype(np.uint64)).astype(np.int64)
-    place = np.concatenate([[0], np.cumsum(m)])[row] + seg
-    order = np.argsort(place, kind="stable")
-    place, s, row_o = place[order], s[order], row[order]
-    edge = np.flatnonzero(np.diff(place, prepend=-1))
+    # segments of a row are told apart by its number above them: there are fewer than 2^40, and rows fewer than 2^23
+    place = (row.astype(np.uint64) << np.uint64(40)) | (s % m[row].astype(np.uint64))
+    order = np.argsort(place)
+    place, s = place[order], s[order]
+    edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     size = np.diff(np.append(edge, len(place)))
     sub = np.add.reduceat(s, edge)
-    own = row_o[edge]
+    own = (place[edge] >> np.uint64(40)).astype(np.int64)
     salt = mix(band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    first = place[edge] - np.concatenate([[0], np.cumsum(m)])[own]
-    tag = mix(first.astype(np.uint64) ^ salt[own])
-    pop = popular[x[order] & np.uint64(len(popular) - 1)] if len(popular) else np.zeros(len(x), bool)
-    bare = (size == 1) & pop[edge]
-    two = bands.deletion[band][own] & (size > 1)
-    sig, who = [mix(sub ^ tag)[~bare]], [own[~bare]]
-    unit = np.where(bare, 0, 1)
-    if two.any():
-        g = np.repeat(np.arange(len(edge)), size)
-        d = np.flatnonzero(two[g])
-        # of two grams, the neighbourhood is subsets of one, which aren't indexed if popular
-        pairs = size[g[d]] == 2
-        mate = np.where(d == edge[g[d]], d + 1, d - 1)
-        lost = pairs & pop[np.where(pairs, mate, 0)]
-        weak = np.bincount(g[d], lost, len(edge)) > 0
-        unit = unit + (two & ~weak)
-        d = d[~lost]
-        sig.append(mix((sub[g[d]] - s[d]) ^ tag[g[d]]))
-        who.append(own[g[d]])
-    return np.concatenate(sig), np.concatenate(who), np.bincount(own, unit, rows).astype(np.int64)
-
-
-def index(x: np.ndarray, at: np.ndarray, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries (signature, row) of each row in the scheme of its own band and of the next; which rows lack units."""
+    tag = mix((place[edge] & np.uint64((1 << 40) - 1)) ^ salt[own])
+    two = size > 1
+    g = np.repeat(np.arange(len(edge)), size)
+    d = np.flatnonzero(two[g])
+    sig = np.concatenate([mix(sub ^ tag), mix((sub[g[d]] - s[d]) ^ tag[g[d]])])
+    return sig, np.concatenate([own, own[g[d]]]), np.bincount(own, 1 + two, rows).astype(np.int64)
+
+
+def index(x: np.ndarray, at: np.ndarray, bands: Bands, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of each row in the schemes of its own band and of the next: signature, row, whether the row looks others up by it; and which rows lack units.
+
+    popular: levels by cell of the grams' hashes, 0 for those that aren't popular.
+    """
     size = np.diff(at)
     rows = len(size)
     row = np.repeat(np.arange(rows), size)
     band = bands.of(np.maximum(size, 1))
-    a, wa, units = _keys(x, row, rows, band, bands, popular)
-    b, wb, _ = _keys(x, row, rows, band + 1, bands, popular)
-    lacking = (units <= np.floor(bands.c * 2 * size + 1e-9)) & (size > 0)
-    return np.concatenate([a, b]), np.concatenate([wa, wb]), lacking
+    own, above = bands.coarse[band], bands.coarse[band + 1]
+    fine = _fine(x, row, size, bands.t, popular) & (~own | ~above)[row]
+    got = [(mix(x[fine] + _SALT), row[fine], ~own[row[fine]])]
+    lacking = np.zeros(rows, bool)
+    if own.any():
+        u = own[row]
+        sig, who, units = _coarse(x[u], row[u], rows, band, bands)
+        got.append((sig, who, np.ones(len(sig), bool)))
+        lacking = own & (units <= np.floor(bands.c * 2 * size + 1e-9))
+    if above.any():
+        u = above[row]
+        sig, who, _ = _coarse(x[u], row[u], rows, band + 1, bands)
+        got.append((sig, who, np.zeros(len(sig), bool)))
+    return *(np.concatenate([g[k] for g in got]) for k in range(3)), lacking
+
+
+#: Parts of the table of popularity that are summed apart.
+PARTS = 16
 
 
 def _statistics(docs: DataFrame, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, float]:
-    """Documents by band; which cells are popular; the chance sum for Bands.allocate. Over all documents; a task's cells count where they reach a quarter of the popular share among its own."""
+    """Documents by band; levels of popularity by cell; unpopular grams that two documents share. Over all documents; of a task's cells those count that
+    reach half of the popular share among its own. Which pairs are found doesn't depend on the levels."""
 
     def count(batches):
         cells, sizes, total = np.zeros(CELLS, np.int32), np.zeros(len(bands.low), np.int64), 0
         for batch in batches:
             buf, off = utf8(batch.column(0), lower=True)
-            for i, j in chunks(off):
+            for i, j in chunks(off, 4 * CHUNK):
                 x, at = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                cells += np.bincount((x & np.uint64(CELLS - 1)).view(np.int64), minlength=CELLS).astype(np.int32)
+                np.add(cells, np.bincount((x & np.uint64(CELLS - 1)).view(np.int64), minlength=CELLS), out=cells, casting="unsafe")
                 size = np.diff(at)
                 sizes += np.bincount(bands.of(size[size > 0]), minlength=len(sizes))
                 total += int((size > 0).sum())
-        if total:
-            high = np.flatnonzero(cells > max(1, POPULAR / 4 * total))
-            rest = cells.astype(np.float64)
-            rest[high] = 0
-            yield pa.RecordBatch.from_arrays([pa.array([sizes.tobytes()]), pa.array([high.astype(np.int64).tobytes()]), pa.array([cells[high].astype(np.int64).tobytes()]), pa.array([float((rest * (rest - 1)).sum()) / total / total])], names=["sizes", "cell", "n", "f2"])
-
-    found = docs.mapInArrow(count, "sizes binary, cell binary, n binary, f2 double").groupBy(F.lit(0).alias("k"), F.pmod(F.xxhash64("cell"), F.lit(16)).alias("j"))
+        if not total:
+            return
+        least = max(1, POPULAR / 2 * total)
+        rest = np.where(cells <= least, cells, 0).astype(np.float64)
+        f2 = float((rest * (rest - 1)).sum()) / total
+        for k, c in enumerate(np.split(cells, PARTS)):
+            high = np.flatnonzero(c > least).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.concatenate([np.diff(high, prepend=np.uint32(0)), c[high].astype(np.uint32)]).tobytes()]), pa.array([sizes.tobytes() if k == 0 else b""]), pa.array([f2 if k == 0 else 0.0])], names=["part", "cells", "sizes", "f2"])
 
     def add(t: pa.Table) -> pa.Table:
-        sizes, cells, f2 = np.zeros(len(bands.low), np.int64), np.zeros(CELLS, np.int64), 0.0
-        for s, c, k, f in zip(*(t.column(q).to_pylist() for q in ("sizes", "cell", "n", "f2"))):
-            sizes += np.frombuffer(s, np.int64)
-            cells[np.frombuffer(c, np.int64)] += np.frombuffer(k, np.int64)
-            f2 += f
-        high = np.flatnonzero(cells)
-        return pa.table({"sizes": [sizes.tobytes()], "cell": [high.astype(np.int64).tobytes()], "n": [cells[high].tobytes()], "f2": [f2], "tasks": [t.num_rows]})
-
-    sizes, cells, f2, tasks = np.zeros(len(bands.low), np.int64), np.zeros(CELLS, np.int64), 0.0, 0
-    for r in found.applyInArrow(add, "sizes binary, cell binary, n binary, f2 double, tasks long").collect():  # at most 16 rows, of popular cells
+        cells, sizes = np.zeros(CELLS // PARTS, np.int64), np.zeros(len(bands.low), np.int64)
+        for c, z in zip(t.column("cells").to_pylist(), t.column("sizes").to_pylist()):
+            c = np.frombuffer(c, np.uint32)
+            cells[np.cumsum(c[: len(c) // 2], dtype=np.int64)] += c[len(c) // 2 :]
+            sizes += np.frombuffer(z, np.int64) if z else 0
+        high = np.flatnonzero(cells >= POPULAR * total)
+        return pa.table({"part": t.column("part")[:1], "cells": pa.array([np.concatenate([high, cells[high]]).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "f2": [sum(t.column("f2").to_pylist())]})
+
+    total = max(1, docs.count())
+    shape = "part int, cells binary, sizes binary, f2 double"
+    sizes, level, f2 = np.zeros(len(bands.low), np.int64), np.zeros(CELLS, np.uint8), 0.0
+    for r in docs.mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect():  # PARTS rows, of popular cells only: there are at most some hundred for 1 / POPULAR
+        c = np.frombuffer(r["cells"], np.int64)
+        share = c[len(c) // 2 :] / total
+        level[c[: len(c) // 2] + r["part"] * (CELLS // PARTS)] = np.minimum(8 * (1 + np.log2(np.maximum(share / POPULAR, 1))), 255).astype(np.uint8)
         sizes += np.frombuffer(r["sizes"], np.int64)
-        cells[np.frombuffer(r["cell"], np.int64)] += np.frombuffer(r["n"], np.int64)
-        f2, tasks = f2 + r["f2"], tasks + r["tasks"]
-    total = max(1, int(sizes.sum()))
-    return sizes, cells > POPULAR * total, f2 / max(1, tasks)
+        f2 += r["f2"]
+    return sizes, level, f2 / total
 
 
-_ENTRY = np.dtype([("h", "V5"), ("row", "<u2")])
+#: Bits of signatures within a bucket.
+_BITS = 40
+_ROW = np.uint16(0x7FFF)
+_LOOKS = np.uint16(0x8000)
 
 
-def _send(sig: np.ndarray, row: np.ndarray, lacking: np.ndarray, ids: np.ndarray, sets: np.ndarray, size: np.ndarray, nb: int) -> pa.RecordBatch:
-    """Blobs by bucket: counts; hashes and sizes of sets with entries; entries; and the sets (hash, document, whether it lacks units) whose own hash falls here."""
-    order, bound = split_by((sig % np.uint64(nb)).astype(np.int64), nb)
-    top = np.ascontiguousarray((sig[order] // np.uint64(nb))).view(np.uint8).reshape(-1, 8)[:, :5]
-    row = row[order]
+def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarray, ids: np.ndarray, sets: np.ndarray, size: np.ndarray, nb: int) -> pa.RecordBatch:
+    """Blobs by bucket, which are ranges of signatures: counts; hashes and sizes of sets with entries; entries, signatures as planes of bytes of
+    their differences; and the sets (hash, document, whether it lacks units) whose own hash falls here."""
+    order = np.argsort(sig)
+    sig, row, looks = sig[order], row[order], looks[order]
+    step = np.uint64((2**64 - 1) // nb + 1)
+    bound = np.searchsorted(sig // step, np.arange(nb + 1).astype(np.uint64))
+    shift = np.uint64(max(0, int(step - np.uint64(1)).bit_length() - _BITS))
     real = np.flatnonzero(size > 0)
-    o2, b2 = split_by((sets[real].view(np.uint64) % np.uint64(nb)).astype(np.int64), nb)
+    o2, b2 = split_by((sets[real].view(np.uint64) // step).astype(np.int64), nb)
     real = real[o2]
-    out = []
+    out, number = [], np.zeros(len(sets), np.uint16)
     for b in np.flatnonzero((np.diff(bound) > 0) | (np.diff(b2) > 0)):
         s, d = slice(bound[b], bound[b + 1]), real[b2[b] : b2[b + 1]]
-        own, idx = np.unique(row[s], return_inverse=True)
-        e = np.empty(len(idx), np.dtype([("h", "u1", 5), ("row", "<u2")]))
-        e["h"], e["row"] = top[s], idx
-        out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), len(e), len(d)], np.int64), sets[own], size[own].astype(np.int64), sets[d], ids[d], lacking[d].astype(np.int64), e))))
+        r = row[s]
+        here = np.zeros(len(sets), bool)
+        here[r] = True
+        own = np.flatnonzero(here)
+        number[own] = np.arange(len(own))
+        h = (sig[s] - np.uint64(b) * step) >> shift
+        gaps = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]
+        marked = number[r] | np.where(looks[s], _LOOKS, np.uint16(0))
+        out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), len(h), len(d)], np.int64), sets[own], size[own].astype(np.uint32), sets[d], ids[d], lacking[d].astype(np.int64), np.ascontiguousarray(gaps.T), marked.astype(np.uint16)))))
     return packed(out)
 
 
-def _candidates(t_: float):
-    c = (1 - t_) / (1 + t_)
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, w = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(w, np.concatenate(n), len(k)).astype(np.int64)
 
+
+def _candidates(t_: float, bands: Bands):
     def run(t: pa.Table) -> pa.Table:
         sets, sizes, h, row, s2, d2, l2, base = [], [], [], [], [], [], [], 0
         for x in t.column("payload"):
             blob = x.as_buffer()
             n, m, k = (int(v) for v in np.frombuffer(blob, np.int64, 3))
             at = 24
-            for into, many in ((sets, n), (sizes, n), (s2, k), (d2, k), (l2, k)):
-                into.append(np.frombuffer(blob, np.int64, many, at))
-                at += 8 * many
-            e = np.frombuffer(blob, np.dtype([("h", "u1", 5), ("row", "<u2")]), m, at)
+            for into, many, kind in ((sets, n, np.int64), (sizes, n, np.uint32), (s2, k, np.int64), (d2, k, np.int64), (l2, k, np.int64)):
+                into.append(np.frombuffer(blob, kind, many, at))
+                at += into[-1].nbytes
+            width = _BITS // 8
             wide = np.zeros((m, 8), np.uint8)
-            wide[:, :5] = e["h"]
-            h.append(wide.view(np.uint64).reshape(-1))
-            row.append(e["row"].astype(np.int64) + base)
+            wide[:, :width] = np.frombuffer(blob, np.uint8, m * width, at).reshape(width, m).T
+            h.append(np.cumsum(wide.view(np.uint64).reshape(-1), dtype=np.uint64))
+            marked = np.frombuffer(blob, np.uint16, m, at + m * width)
+            row.append(((marked & _ROW).astype(np.int64) + base) << 1 | (marked >= _LOOKS))
             base += n
         sets, sizes, h, row, s2, d2, l2 = (np.concatenate(v) for v in (sets, sizes, h, row, s2, d2, l2))
         # equal sets are one
         own, first, which = np.unique(sets, return_index=True, return_inverse=True)
-        size = sizes[first]
-        h = mix(h)
+        size = sizes[first].astype(np.int64)
         order = np.argsort(h)
-        h, who = h[order], which[row[order]]
+        h, row = h[order], row[order]
         del order
-        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        many = np.diff(np.append(edge, len(h)))
-        pair: list[np.ndarray] = []
-        held = 0
-        for k in np.unique(many[many > 1]):  # all groups of a size at once
-            starts = edge[many == k]
-            step = max(1, (1 << 20) // int(k))
-            for i in range(0, len(starts), step):
-                g = np.sort(who[starts[i : i + step, None] + np.arange(k)], axis=1)
-                for d in range(1, int(k)):
-                    a, b = g[:, :-d].reshape(-1), g[:, d:].reshape(-1)
-                    sa, sb = size[a], size[b]
-                    near = (a != b) & (np.minimum(sa, sb) >= t_ * np.maximum(sa, sb) - 1e-9)
-                    if near.any():
-                        pair.append((a[near] << 32) | b[near])
-                        held += len(pair[-1])
-                        if held > 8 << 20:
-                            pair = [np.unique(np.concatenate(pair))]
-                            held = len(pair[0])
-        both = np.unique(np.concatenate(pair)) if pair else np.zeros(0, np.int64)
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+        alone = new & np.append(new[1:], True)
+        keep = np.flatnonzero(~alone)
+        new, row = new[keep], row[keep]
+        del h, alone, keep
+        who, looks = which[row >> 1], (row & 1) > 0
+        edge = np.flatnonzero(new)
+        many = np.diff(np.append(edge, len(who)))
+        group = np.cumsum(new) - 1
+        # of equal sets in a group one counts
+        _, once = np.unique(group * np.int64(len(own) + 1) + who, return_index=True)
+        who, looks, group = who[once], looks[once], group[once]
+        many = np.bincount(group, minlength=len(edge))
+        edge = np.cumsum(many) - many
+        look = np.flatnonzero(looks)
+        cost = np.cumsum(many[group[look]])
+        keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        counts: list[np.ndarray] = [np.zeros(0, np.int64)]
+        held, limit, i = 0, 1 << 20, 0
+        while i < len(look):
+            j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + (1 << 19), "right")))
+            g = group[look[i:j]]
+            n = many[g]
+            a = np.repeat(who[look[i:j]], n)
+            b = who[np.repeat(edge[g], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+            # the larger looks up the smaller, of equal ones the first the second
+            near = ((size[b] < size[a]) | ((size[b] == size[a]) & (a < b))) & (size[b] >= t_ * size[a] - 1e-9)
+            k, c = np.unique((a[near] << 32) | b[near], return_counts=True)
+            keys.append(k)
+            counts.append(c)
+            held += len(k)
+            if held > limit:
+                k, c = _summed(keys, counts)
+                keys, counts, held, limit = [k], [c], 0, max(1 << 20, len(k) // 2)
+            i = j
+        both, agree = _summed(keys, counts)
         a, b = own[both >> 32], own[both & 0xFFFFFFFF]
+        large, small = size[both >> 32], size[both & 0xFFFFFFFF]
+        need = np.where(bands.coarse[bands.of(large)] if len(large) else False, 1, np.minimum(AGREE, np.minimum(_least(large, t_), _least(small, t_))))
         # documents of sets that several documents have, and of sets that lack units
-        u, w, n = np.unique(s2, return_inverse=True, return_counts=True)
+        _, w, n = np.unique(s2, return_inverse=True, return_counts=True)
         dup = n[w] > 1
         lack = np.flatnonzero(l2 > 0)
         kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(int(dup.sum()), np.int32), np.full(len(lack), 2, np.int32)])
         left = np.concatenate([np.minimum(a, b), d2[dup], d2[lack]])
         right = np.concatenate([np.maximum(a, b), s2[dup], s2[lack]])
-        return pa.table({"kind": kind, "a": left.astype(np.int64), "b": right.astype(np.int64)})
+        n, m = (np.concatenate([v, np.ones(len(kind) - len(a), np.int64)]).astype(np.int32) for v in (agree, need))
+        return pa.table({"kind": kind, "a": left.astype(np.int64), "b": right.astype(np.int64), "agree": n, "need": m})
 
     return run
 
 
+#: Bytes of a gram's hash that verification compares.
+_GRAM = 6
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :_GRAM]).tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).reshape(-1, _GRAM)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :_GRAM] = x
+    return out.view(np.uint64).reshape(-1)
+
+
+#: Pairs that are verified in one task at most, on average.
+HOME_PAIRS = 1 << 20
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Exact similarities of the pairs (a, b). A set goes once to each home where it has pairs: the smallest partner of a; homes of very many pairs are cut by both ends."""
+    ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(pairs.select("b", "a"))
+    label = ends.groupBy("v").agg(F.least(F.min("u"), F.min("v")).alias("home"))
+    homed = checkpointed(pairs.join(label, F.col("a") == F.col("v")).select("home", "a", "b"))
+    cut = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / HOME_PAIRS)).cast("int").alias("cut")).where("cut > 1").select(F.col("home").alias("h"), "cut")
+    homed = homed.join(cut, F.col("home") == F.col("h"), "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("cut"))
+    homed = homed.select("home", part("a").alias("pa"), part("b").alias("pb"), "a", "b")
+    keys = ["home", "pa", "pb"]
+    needed = homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct()
+    sent = needed.select(F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), F.col("s")).join(sets, "s")
+
+    def verify(p: pa.Table, q: pa.Table) -> pa.Table:
+        sets: dict = {}
+        doc: dict = {}
+        for s, d, g in zip(q.column("s").to_pylist(), q.column("doc").to_pylist(), q.column("grams").to_pylist()):
+            if s not in sets:
+                sets[s] = _wide(g)
+            doc[s] = min(d, doc.get(s, d))
+        da, db, j = [], [], []
+        for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist()):
+            if a in sets and b in sets:
+                z = np.concatenate([sets[a], sets[b]])
+                z.sort()
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
+                s = both / (len(z) - both)
+                if s >= threshold - 1e-12 and doc[a] != doc[b]:
+                    da.append(min(doc[a], doc[b]))
+                    db.append(max(doc[a], doc[b]))
+                    j.append(round(s, 6))
+        return pa.table({"doc_id_a": pa.array(da, pa.int64()), "doc_id_b": pa.array(db, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+
+    return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set, doc (the smallest id), grams (packed) of the wanted sets (column s). Their hashes are broadcast if they're few, else joined."""
+    """s, doc, grams (packed) of the documents with one of the wanted sets (column s). Their hashes are broadcast if they're few, else joined."""
     many = wanted.count()
     few = many <= BROADCAST_SETS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["s"].to_numpy()) if few else None)
@@ -283,26 +396,24 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     keep &= known[np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))] == s if len(known) else False
                 r = np.flatnonzero(keep)
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(s[r]), pa.array(ids[i:j][r]), pa.array([x[at[k] : at[k + 1]].tobytes() for k in r], pa.binary())], names=["s", "doc", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s[r]), pa.array(ids[i:j][r]), pa.array([_narrow(x[at[k] : at[k + 1]]) for k in r], pa.binary())], names=["s", "doc", "grams"])
 
     found = docs.mapInArrow(run, "s long, doc long, grams binary")
-    if not few:
-        found = found.join(wanted, "s", "left_semi")
-    return found.groupBy("s").agg(F.min("doc").alias("doc"), F.first("grams").alias("grams"))
+    return found if few else found.join(wanted, "s", "left_semi")
 
 
 def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
     """Candidates (a, b) of the sets that lack units: all sets, no larger, that hold one of the grams that a partner can't all miss."""
     spark = docs.sparkSession
-    total = max(1, sets.count())
-    wanted = sets.select("s", "grams")
+    wanted = checkpointed(sets.groupBy("s").agg(F.first("grams").alias("grams")))
+    total = max(1, wanted.count())
     per = max(1, int(total * 400 // PROBES) + 1)
     out = None
     for k in range(per):
         got = (wanted if per == 1 else wanted.where(F.pmod(F.xxhash64("s"), F.lit(per)) == k)).toArrow()
         gram, owner, low, high = [], [], {}, {}
         for s, blob in zip(got["s"].to_pylist(), got["grams"].to_pylist()):
-            x = np.frombuffer(blob, np.uint64)
+            x = _wide(blob)
             need = math.ceil(t * len(x) - 1e-9)
             x = x[: len(x) - need + 1]
             gram.append(x)
@@ -319,6 +430,7 @@ def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
                 for i, j in chunks(off):
                     x, at = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                     s, size = set_hash(x, at), np.diff(at)
+                    x = x & np.uint64((1 << (8 * _GRAM)) - 1)
                     lo, hi = np.searchsorted(gram, x, "left"), np.searchsorted(gram, x, "right")
                     hit = np.flatnonzero(hi > lo)
                     if not len(hit):
@@ -357,40 +469,23 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf, off = utf8(batch.column(1), lower=True)
-            for lo in range(0, len(ids), 60000):
-                hi = min(len(ids), lo + 60000)
+            for lo in range(0, len(ids), 30000):
+                hi = min(len(ids), lo + 30000)
                 part, got = off[lo : hi + 1], []
                 for i, j in chunks(part):
                     x, at = grams(buf[part[i] : part[j]], part[i : j + 1] - part[i], n)
-                    sig, row, lacking = index(x, at, bands, popular)
-                    got.append((sig, row + i, lacking, set_hash(x, at), np.diff(at)))
+                    sig, row, looks, lacking = index(x, at, bands, popular)
+                    got.append((sig, row + i, looks, lacking, set_hash(x, at), np.diff(at)))
                 if got:
-                    sig, row, lacking, sets, size = (np.concatenate([g[k] for g in got]) for k in range(5))
-                    yield _send(sig, row, lacking, ids[lo:hi], sets, size, nb)
+                    sig, row, looks, lacking, sets, size = (np.concatenate([g[k] for g in got]) for k in range(6))
+                    yield _send(sig, row, looks, lacking, ids[lo:hi], sets, size, nb)
 
-    raw = checkpointed(d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold), "kind int, a long, b long").distinct())
+    raw = checkpointed(d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands), "kind int, a long, b long, agree int, need int").groupBy("kind", "a", "b").agg(F.sum("agree").alias("agree"), F.max("need").alias("need")).where("agree >= need").select("kind", "a", "b"))
     pairs = raw.where("kind = 0").select("a", "b")
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()
     if lacking.count():
         pairs = checkpointed(pairs.union(_lookup(d, _sets_of(d, lacking, n), n, threshold)).distinct())
-    sets = checkpointed(_sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n))
-    left = sets.select(F.col("s").alias("a"), F.col("doc").alias("doc_a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("s").alias("b"), F.col("doc").alias("doc_b"), F.col("grams").alias("grams_b"))
-
-    def verify(batches):
-        for batch in batches:
-            da, db = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            j = np.zeros(len(da))
-            for i, (p, q) in enumerate(zip(batch.column(1), batch.column(3))):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                z = np.concatenate([p, q])
-                z.sort()
-                both = int(np.count_nonzero(z[1:] == z[:-1]))
-                j[i] = both / (len(z) - both)
-            k = np.flatnonzero((j >= threshold - 1e-12) & (da != db))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(da, db)[k]), pa.array(np.maximum(da, db)[k]), pa.array(np.round(j[k], 6))], names=["doc_id_a", "doc_id_b", "jaccard"])
-
-    near = pairs.join(left, "a").join(right, "b").select("doc_a", "grams_a", "doc_b", "grams_b").mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double")
+    near = _verified(pairs, _sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n), threshold)
     copies = raw.where("kind = 1")
     first = copies.groupBy(F.col("b").alias("s")).agg(F.min("a").alias("doc_id_a"))
     copies = copies.join(first, F.col("b") == F.col("s")).where("a <> doc_id_a").select("doc_id_a", F.col("a").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
