@@ -80,7 +80,7 @@ def lemma(word: Column) -> Column:
     """A base form: a table of irregular words, then suffix rules. Punctuation stays as it is."""
     table = F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv))
     w = F.lower(word)
-    ruled = F.when(w.rlike("^[a-z]{3,}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(w, "es$", "")).when(w.rlike("^[a-z]{3,}[^su]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+    ruled = F.when(w.rlike("^[a-z]{3,}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(w, "es$", "")).when(w.rlike("^[a-z]{2,}[^su]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
     return F.coalesce(table[w], ruled)
 
 
@@ -218,7 +218,11 @@ STOPWORDS = {"en": "the of and to in is that it was for on are with as this", "d
 def languages(text: Column) -> Column:
     """The two best languages with scores: shares of a text's words that are a language's stop words."""
     t = tokens(F.lower(text))
-    scores = [F.struct((F.size(F.filter(t, lambda x, ws=ws: x.isin(*ws.split()))) / F.greatest(F.size(t), F.lit(1))).alias("score"), F.lit(k).alias("lang")) for k, ws in sorted(STOPWORDS.items())]
+
+    def share(ws: str) -> Column:
+        return F.size(F.filter(t, lambda x: x.isin(*ws.split()))) / F.greatest(F.size(t), F.lit(1))
+
+    scores = [F.struct(share(ws).alias("score"), F.lit(k).alias("lang")) for k, ws in sorted(STOPWORDS.items())]
     return F.transform(F.slice(F.sort_array(F.array(*scores), asc=False), 1, 2), lambda s: F.struct(s["lang"].alias("lang"), F.round(s["score"], 6).alias("score")))
 
 

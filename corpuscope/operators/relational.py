@@ -59,8 +59,8 @@ def tie_shares(values: dict[str, Column]) -> dict[str, Column]:
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bins of equal width from low to high, the last one closed; all in bin 0 where low equals high. Values out of range have none."""
     span = F.nullif(high - low, F.lit(0.0))
-    b = F.least(F.floor((value - low) / span * bins), F.lit(bins - 1))
-    return F.when(value.between(low, high), F.coalesce(b, F.lit(0))).cast("int")
+    b = F.coalesce(F.floor((value - low) / span * bins), F.lit(0))
+    return F.when(value.between(low, high), F.least(b, F.lit(bins - 1))).cast("int")
 
 
 def nth_largest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
