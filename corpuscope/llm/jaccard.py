@@ -339,12 +339,17 @@ def _wide(b: bytes) -> np.ndarray:
 
 #: Pairs that are verified in one task at most, on average.
 HOME_PAIRS = 1 << 20
+LABEL_ROUNDS = 1
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact similarities of the pairs (a, b). A set goes once to each home where it has pairs: the smallest partner of a; homes of very many pairs are cut by both ends."""
+    """Exact similarities of the pairs (a, b). A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
+    which is mostly the same for a whole group. Homes of very many pairs are cut by both ends."""
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(pairs.select("b", "a"))
     label = ends.groupBy("v").agg(F.least(F.min("u"), F.min("v")).alias("home"))
+    for _ in range(LABEL_ROUNDS - 1):
+        near = label.select(F.col("v").alias("n"), "home")
+        label = checkpointed(ends.join(near, F.col("u") == F.col("n")).groupBy("v").agg(F.min("home").alias("home")))
     homed = checkpointed(pairs.join(label, F.col("a") == F.col("v")).select("home", "a", "b"))
     cut = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / HOME_PAIRS)).cast("int").alias("cut")).where("cut > 1").select(F.col("home").alias("h"), "cut")
     homed = homed.join(cut, F.col("home") == F.col("h"), "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
@@ -457,7 +462,8 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     id, a null or empty text, or no words are in no pair. Rows of equal id and text are one document; an id that is repeated with
     other texts may be in the pairs of each, but not in one with itself. An empty docs has no pairs. Other columns are not looked at.
     """
-    spark, nb = docs.sparkSession, buckets(docs.sparkSession)
+    spark = docs.sparkSession
+    nb = -(-buckets(spark) // 4)  # entries are small: fewer buckets, and so fewer of them that find the same pair
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t_"))
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
