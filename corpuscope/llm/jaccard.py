@@ -468,10 +468,10 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
     bands.allocate(sizes, single)
-    shared = spark.sparkContext.broadcast((bands, popular))
+    shared = spark.sparkContext.broadcast(popular)
 
     def send(batches):
-        bands, popular = shared.value
+        popular = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf, off = utf8(batch.column(1), lower=True)
