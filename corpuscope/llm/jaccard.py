@@ -343,7 +343,7 @@ LABEL_ROUNDS = 1
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact similarities of the pairs (a, b). A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
+    """The pairs (a, b) of sets that are similar enough, the smallest ids of both (which may be one, if an id is repeated), and their exact similarity. A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
     which is mostly the same for a whole group. Homes of very many pairs are cut by both ends."""
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(pairs.select("b", "a"))
     label = ends.groupBy("v").agg(F.least(F.min("u"), F.min("v")).alias("home"))
@@ -366,20 +366,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             if s not in sets:
                 sets[s] = _wide(g)
             doc[s] = min(d, doc.get(s, d))
-        da, db, j = [], [], []
+        sa, sb, da, db, j = [], [], [], [], []
         for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist()):
             if a in sets and b in sets:
                 z = np.concatenate([sets[a], sets[b]])
                 z.sort()
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
                 s = both / (len(z) - both)
-                if s >= threshold - 1e-12 and doc[a] != doc[b]:
-                    da.append(min(doc[a], doc[b]))
-                    db.append(max(doc[a], doc[b]))
+                if s >= threshold - 1e-12:
+                    sa.append(a)
+                    sb.append(b)
+                    da.append(doc[a])
+                    db.append(doc[b])
                     j.append(round(s, 6))
-        return pa.table({"doc_id_a": pa.array(da, pa.int64()), "doc_id_b": pa.array(db, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        return pa.table({"a": pa.array(sa, pa.int64()), "b": pa.array(sb, pa.int64()), "da": pa.array(da, pa.int64()), "db": pa.array(db, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
-    return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double")
+    return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "a long, b long, da long, db long, jaccard double")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -452,18 +454,10 @@ def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
     return out
 
 
-def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard (rounded to 6 digits), at least threshold.
-
-    Documents with the same set of grams are one, which goes by their smallest id: each of the others has one row, with that id and 1.0.
-    All pairs of different sets have a row with the ids that they go by. So the pairs of all documents follow, with no rows that grow by the square of the copies.
-
-    Words are runs of letters and digits, in lower case; a text of 1 to ngram - 1 words has one gram, of all its words. Rows with a null
-    id, a null or empty text, or no words are in no pair. Rows of equal id and text are one document; an id that is repeated with
-    other texts may be in the pairs of each, but not in one with itself. An empty docs has no pairs. Other columns are not looked at.
-    """
+def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Similar sets (a, b, their smallest ids da and db, jaccard), and the documents (m) of each set (s) that more than one row has."""
     spark = docs.sparkSession
-    nb = -(-buckets(spark) // 4)  # entries are small: fewer buckets, and so fewer of them that find the same pair
+    nb = max(2, -(-buckets(spark) // 4))  # entries are small: fewer buckets, and so fewer of them that find the same pair; the width of a single one would not fit 64 bits
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t_"))
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
@@ -492,9 +486,40 @@ def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if lacking.count():
         pairs = checkpointed(pairs.union(_lookup(d, _sets_of(d, lacking, n), n, threshold)).distinct())
     near = _verified(pairs, _sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n), threshold)
-    copies = raw.where("kind = 1")
-    first = copies.groupBy(F.col("b").alias("s")).agg(F.min("a").alias("doc_id_a"))
-    copies = copies.join(first, F.col("b") == F.col("s")).where("a <> doc_id_a").select("doc_id_a", F.col("a").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return near, raw.where("kind = 1").select(F.col("b").alias("s"), F.col("a").alias("m"))
+
+def _ordered(pairs: DataFrame, a: F.Column, b: F.Column) -> DataFrame:
+    """doc_id_a < doc_id_b and jaccard, once; no document with itself."""
+    return pairs.where(a != b).select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard")
+
+
+def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id_a < doc_id_b and jaccard (rounded to 6 digits), at least threshold.
+
+    Documents with the same set of grams are one, which goes by their smallest id: each of the others has one row, with that id and 1.0.
+    All pairs of different sets have a row with the ids that they go by. So the pairs of all documents follow, with no rows that grow by the square of the copies.
+
+    Words are runs of letters and digits, in lower case; a text of 1 to ngram - 1 words has one gram, of all its words. Rows with a null
+    id, a null or empty text, or no words are in no pair. Rows of equal id and text are one document; an id that is repeated with
+    other texts may be in the pairs of each, but not in one with itself. An empty docs has no pairs. Other columns are not looked at.
+    """
+    near, members = _similar_sets(docs, id_col, text_col, ngram, threshold)
+    first = members.groupBy(F.col("s").alias("s1")).agg(F.min("m").alias("doc_id_a"))
+    copies = members.join(first, F.col("s") == F.col("s1")).where("m <> doc_id_a").select("doc_id_a", F.col("m").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return _ordered(near, F.col("da"), F.col("db")).unionAll(copies).distinct()
+
+
+def all_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id_a < doc_id_b and jaccard of every pair of documents that are similar enough: similar_pairs() with all documents of a set in place of its smallest id.
+
+    Rows grow by the square of the copies, as the pairs do.
+    """
+    near, members = _similar_sets(docs, id_col, text_col, ngram, threshold)
+    members = checkpointed(members)
+    of = lambda k: members.select(F.col("s").alias(f"s{k}"), F.col("m").alias(f"m{k}"))
+    near = near.join(of(1), F.col("a") == F.col("s1"), "left").join(of(2), F.col("b") == F.col("s2"), "left")
+    near = _ordered(near, F.coalesce("m1", "da"), F.coalesce("m2", "db"))
+    copies = of(1).join(of(2), (F.col("s1") == F.col("s2")) & (F.col("m1") < F.col("m2"))).select(F.col("m1").alias("doc_id_a"), F.col("m2").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return near.unionAll(copies).distinct()
 
 
@@ -527,6 +552,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(table(spark, sf_dir, "documents"))
+
+
 def sql() -> str:
     n = NGRAM
     return f"""

@@ -446,6 +446,29 @@ def test_pairs_table(spark):
     assert jaccard.similar_pairs(d.where("false")).count() == 0 and jaccard.keep_one(d.where("false")).count() == 0
 
 
+def unfolded_pairs(docs, n, t):
+    """Every two documents, with nothing folded."""
+    sets = {}
+    for i, text, _ in docs:
+        w = text.lower().split()
+        if w:
+            sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+    return {(a, b): round(j, 6) for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t - 1e-12}
+
+
+def test_all_pairs(spark):
+    """Copies other than the smallest id have their pairs too, also with near ones."""
+    r = random.Random(21)
+    a, b = prose(r, 80, 300), prose(r, 5, 300)
+    docs = [(k, x, "s") for k, x in enumerate([a, a, near(r, a, 0.03), a, b, near(r, a, 0.02), b, b])]
+    docs[6] = (6, docs[2][1], "s")
+    docs += [(10 + k, x, s) for k, x, s in copies(r, 30)]
+    want = unfolded_pairs(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    assert {(1, 3), (1, 6), (3, 6), (2, 3)} <= set(want)
+    got = jaccard.all_pairs(frame(spark, docs)).collect()
+    assert len(got) == len(want) and {(x.doc_id_a, x.doc_id_b): x.jaccard for x in got} == want
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(30, 31), (40, 30)], "doc_id_a long, doc_id_b long")
     assert {x.doc: x.root for x in jaccard.components(e).collect()} == {**{k: 1 for k in range(1, 21)}, 30: 30, 31: 30, 40: 30}
