@@ -10,6 +10,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,27 @@ HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧ
 _INVISIBLE = "​‌‍⁠﻿­"
 _DIGITS = {w: str(d) for d, ws in enumerate(("zero oh null cero zéro", "one eins uno", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in ws.split()}
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-#: Runs of so many spelled digits at least are digits; shorter ones are words.
+#: Runs of so many spelled digits at least are digits; shorter ones are words, unless they touch digits.
 SPELLED = 4
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?:[\s,.\-]{{1,3}}(?:{_WORD}|\d))" + "{%d,}" % (SPELLED - 1) + r"(?![^\W_])")
 _SPELLED_ONE = re.compile(rf"(?i)({_WORD})|([\s,.\-]+)")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*")
-#: Last labels that end a disguised address in words; those that are words of prose too ("in", "it", "is", "me") are left out.
-_TLD = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|ai|dev|app|tech|online|site|xyz|eu|uk|us|de|fr|es|ch|nl|pl|pt|br|mx|ar|ru|cn|jp|kr|au|nz|ca|se|dk|fi|cz|ie|za|tv|example|test"
-#: name at host dot domain, in words: the dot and what follows it tell it from prose
-_SAID = re.compile(rf"(?i)(?<![\w.+-])([\w.+-]+)(\s+at\s+|\s*@\s*)([\w-]+(?:(?:\s+dot\s+|\.)[\w-]+)*\s+dot\s+(?:{_TLD}))(?![\w-])")
-_SAID_PART = re.compile(r"(?i)\s+dot\s+")
+_SHORT = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?:[\s,.\-]{{1,3}}(?:{_WORD}))*(?![^\W_])")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"\d[\s.\-]{1,3}$"), re.compile(r"[\s.\-]{1,3}\d")
+#: All top-level domains in ASCII, and the reserved ones that examples use.
+TLDS = frozenset(Path(__file__).with_name("tlds.txt").read_text().split())
+#: Those that are words of prose too, and, after a real dot, endings of file names: they need context.
+_PROSE = frozenset("able am an and are art as at bar be best bid by call can cash cat come day do dog eat fail fan fast fit fly free fun gives go got here home hot how id im in is it la le like live ma makes me mom moi my ne new next no now off on one open our pay pet place play read red rest rich rip run safe sale save se show si so su talk tab to today top tu va very vote watch weather win work works wow yes you your".split())
+_FILES = frozenset("cc java md mov pl ps py rs sh so zip".split())
+_SENT = re.compile(r"(?i)\b(?:e-?mails?|mail|writes?|contact|reach|message|reply|send|address|adresse|correo|courriel|schreib\w*|kontakt\w*|escrib\w*|contacte\w*|contacto|écri\w*)\b[^.!?\n]{0,40}$")
+_CLOSE = re.compile(r"\s*(?:$|[.,;:!?)\]}>\"'])")
+_ARTICLE = frozenset("the a an this that these those every each any some my your his her its our their one which what der die das den dem ein eine einem einer le la les l un une el los las una cada".split())
+#: Words that stand before at in prose, and so aren't names.
+_NO_NAME = _ARTICLE | frozenset("look looks looked looking see us me you him her it them i we they he she is are was were be been not now here there not only also or and visit visited found find available available online more details information info live page pages site website hosted sold bought buy shop read learn meet met met's arrive arrived work works worked working stay stays staying store stores stored posted published out in up down back again on off stop point aim error crash bug line file data code version images articles products blog posts videos books home start starts started stare stared smile laugh shout good bad best".split())
+#: name at host dot domain: spoken signs and last labels in words are told from prose by the label and what is around it
+_SAID = re.compile(r"(?i)(?<![\w.+-])([\w.+-]*?[a-z0-9+])(\s+at\s+|\s*@\s*|[_-]at[_-])([a-z0-9](?:[a-z0-9-]*?[a-z0-9])?(?:(?:\s+dot\s+|[_-]dot[_-]|\.)[a-z0-9](?:[a-z0-9-]*?[a-z0-9])?)*?(\s+dot\s+|[_-]dot[_-]|\.))([a-z]{2,24})(?![\w-])(?!\s+dot\s|\.[a-z0-9])")
+_SAID_PART = re.compile(r"(?i)\s+dot\s+|[_-]dot[_-]")
 _SAID_LEFT = re.compile(r"(?i)([\w-]+)\s+dot\s+(?=[\w.+-]+@)")
 
 DETECTORS = [
@@ -54,7 +65,7 @@ DETECTORS = [
 #: What a text with an identifier, plain or disguised, must hold.
 _PLAIN = r"[0-9@]|AKIA|[spr]k[-_]|gh[pousr]_|xox[abprs]-|PRIVATE KEY|\p{Nd}"
 _ODD = "[" + "".join(re.escape(c) for c in HOMOGLYPHS) + _INVISIBLE + r"]|\p{M}|[\x{FF01}-\x{FF5E}]"
-_DISGUISE = rf"(?i)[\[({{<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}}>]|\sdot\s|\b(?:{_WORD})[\s,.\-]{{1,3}}(?:{_WORD}|[0-9])"
+_DISGUISE = rf"(?i)[\[({{<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}}>]|[\s_-]dot[\s_-]|(?:\sat\s+|[_-]at[_-])[a-z0-9][a-z0-9.-]*\.[a-z]|[0-9][\s.\-]{{1,3}}(?:{_WORD})\b|\b(?:{_WORD})[\s,.\-]{{1,3}}(?:{_WORD}|[0-9])"
 
 
 class Aligned:
@@ -106,6 +117,26 @@ def _plain(c: str) -> str:
     return c
 
 
+def _said(m: re.Match) -> bool:
+    """Whether a match of _SAID is an address. A spoken dot with a last label that isn't a word of prose is; else the name and the host must not be
+    words that prose has there, and a label that is such a word, or none that is known, needs a word of writing before, or the end of the clause after it."""
+    name, at, host, dot, label = m.groups()
+    if "@" in at and dot == ".":
+        return bool(_SAID_PART.search(host))
+    plain = label.lower() in TLDS and label.lower() not in _PROSE and not (dot == "." and label.lower() in _FILES)
+    if plain and dot != "." and at[0] not in "_-":
+        return True
+    first = re.match(r"(?i)[a-z0-9-]+", host).group().lower()
+    if name.lower() in _NO_NAME or first in _ARTICLE:
+        return False
+    sent = bool(_SENT.search(m.string, max(0, m.start() - 60), m.start()))
+    if plain:
+        return at[0] != "-" or dot != "." or sent
+    if dot == "." and not (label.islower() or label.isupper()):
+        return False  # two sentences without a space between
+    return sent if label.lower() not in TLDS or at[0] == "-" else sent or bool(_CLOSE.match(m.string, m.end()))
+
+
 def normalise(text: str, disguised: bool = True, odd: bool = True) -> Aligned:
     """The text without its disguises."""
     x = Aligned(text)
@@ -113,10 +144,13 @@ def normalise(text: str, disguised: bool = True, odd: bool = True) -> Aligned:
         x.rewrite([(m.start(), m.end(), new) for m in _ODD_PY.finditer(text) if (new := _plain(m.group())) != m.group()])
     if disguised:
         x.rewrite([(m.start(), m.end(), _SPELLED_ONE.sub(lambda k: _DIGITS[k.group(1).lower()] if k.group(1) else "", m.group())) for m in _SPELLED.finditer(x.text)])
+        x.rewrite([(m.start(), m.end(), _SPELLED_ONE.sub(lambda k: _DIGITS[k.group(1).lower()] if k.group(1) else "", m.group())) for m in _SHORT.finditer(x.text) if _DIGIT_AFTER.match(x.text, m.end()) or _DIGIT_BEFORE.search(x.text, max(0, m.start() - 4), m.start())])
         x.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
         x.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
         edits = []
         for m in _SAID.finditer(x.text):
+            if not _said(m):
+                continue
             edits.append((*m.span(2), "@"))
             edits += [(m.start(3) + k.start(), m.start(3) + k.end(), ".") for k in _SAID_PART.finditer(m.group(3))]
         x.rewrite(edits)
