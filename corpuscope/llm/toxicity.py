@@ -24,16 +24,34 @@ LEXICON = {
     "I": "idiot idiots moron morons loser losers scum scumbag scumbags worthless pathetic disgusting imbecile imbeciles dumbass bastard bastards asshole assholes bitch bitches dimwit dimwits halfwit halfwits lowlife lowlifes vermin cretin cretins "
     "idiota idiotas imbécil imbéciles estúpido estúpida estúpidos gilipollas imbécile connard connards connasse salaud salauds abruti abrutis dummkopf schwachkopf vollidiot vollidioten arschloch drecksack",
     "M": "stupid trash clown clowns filth garbage parasite parasites degenerate degenerates ugly jerk jerks",
-    "V": "kill hurt destroy strangle stab shoot murder beat burn punch crush",
-    "F": "will gonna shall i'll we'll want wants going must should deserve deserves",
-    "Y": "you your you're youre yourself ur u",
-    "P": "he she they them him her his their these those everyone people",
-    "N": "not never no isn't aren't wasn't don't doesn't won't can't cannot nobody neither without",
-    "R": "said says say called calls wrote writes claimed claims told tells quoted shouted alleged reported according",
+    "V": "kill hurt destroy strangle stab shoot murder beat burn punch crush "
+    "tue tues tuer tuons buter bute égorger égorge étrangler étrangle poignarder poignarde massacrer frapper frappe tabasser tabasse détruire détruis matar mato golpear golpeo estrangular estrangulo apuñalar apuñalo destruir destruyo degollar "
+    "töten töte umbringen umbringe erschlagen erschlage erwürgen erwürge erstechen ersteche abstechen verprügeln verprügle zerstören vernichten abschlachten",
+    "F": "will gonna shall i'll we'll want wants going must should deserve deserves "
+    "vais vas va allons allez vont veux veut voulons mérites mérite voy vamos van quiero quiere queremos mereces merece werde wirst wird werden werdet wollen wollt sollst sollte verdienst verdient",
+    "Y": "you your you're youre yourself ur u tu toi te t' vous votre vos tú ti usted ustedes vosotros eres du dich dein deine deinen euch euer eure bist êtes",
+    "P": "he she they them him her his their these those everyone people il elle ils elles lui leur leurs él ella ellos ellas er ihn ihm ihr ihre ihnen",
+    "N": "not never no isn't aren't wasn't don't doesn't won't can't cannot nobody neither without ne n' pas jamais aucun aucune sans ni nunca jamás tampoco nadie sin nicht nie niemals kein keine keinen keinem keiner niemand weder ohne",
+    "R": "said says say called calls wrote writes claimed claims told tells quoted shouted alleged reported according "
+    "dit dits disait disent écrit écrivait affirme affirmait affirmé prétend prétendait déclare déclaré appelle appelé traité crié selon dijo dijeron dicen decía decían llamó llamaron escribió afirma afirmó según gritó contó "
+    "sagt sagte sagten gesagt schrieb schreibt geschrieben nannte nennt genannt behauptet behauptete rief meinte erzählte laut",
 }
+#: Verbs that threaten by their form: a future of one's own, or with the person spoken to at the end.
+OWN_FUTURE = "tuerai tuerons égorgerai étranglerai poignarderai frapperai détruirai mataré mataremos golpearé estrangularé apuñalaré destruiré matarte mataros golpearte estrangularte apuñalarte destruirte degollarte"
+#: Verbs that are violent if the person spoken to comes next, and else tell of things.
+ONGOING = "killing hurting destroying strangling stabbing shooting murdering beating burning punching crushing"
+#: Verbs of dying threaten if the person spoken to is among the words before; "die" is a German article too, so it needs one of the words that stand before an English verb.
+DYING = "die mourir mourras mourrez crever crèveras morir morirás moriréis sterben verrecken"
+_DYING, _ONGOING, _OWN_FUTURE = set(DYING.split()), set(ONGOING.split()), set(OWN_FUTURE.split())
+_BEFORE_DIE = set("will gonna shall should must to you'll".split())
+_SECOND = set("you you'll you're youre u tu vas te vous allez tú usted ustedes du wirst sollst ihr werdet".split())
+_CLITIC = set("te t' vous os dich euch".split())
+_GO = set("voy vas va vamos van".split())
+_ELIDED = set("n t d l j m s c qu".split())
 TOXIC_FROM = 1.0
 _CLASS = {w: c for c, ws in LEXICON.items() for w in ws.split()}
-_TRIGGER = "(?i)\\b(?:" + "|".join(sorted((w for c in "IMV" for w in LEXICON[c].split()), key=len, reverse=True)) + ")\\b"
+#: Words end where the tokeniser ends them: at anything but letters.
+_TRIGGER = r"(?i)(?:^|[^\p{L}])(?:(?:will|gonna|shall|should|must|to|ll)[^\p{L}]+die|" + "|".join(sorted([w for c in "IMV" for w in LEXICON[c].split()] + [*_OWN_FUTURE, *_ONGOING, *(_DYING - {"die"})], key=len, reverse=True)) + r")(?:$|[^\p{L}])"
 _CLAUSE = re.compile(r"[^.!?;\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ALL = "IMVFYPNRO"
@@ -153,11 +171,35 @@ def best_path(m: Machine, symbols: str) -> float:
     return max((s for q, s in at.items() if q[2] != "g"), default=0.0)
 
 
+def classes(clause: str) -> str:
+    """The word classes of a clause. Elided words ("n'es", "t'égorge") are two; what a verb's form or neighbours say of intent is written as an F before it."""
+    found: list[str] = []
+    for w in _TOKEN.findall(clause.lower().replace("’", "'")):
+        a, mark, b = w.partition("'")
+        found += [a + mark, b] if mark and w not in _CLASS and a in _ELIDED else [w]
+    out = []
+    for k, w in enumerate(found):
+        last, after = found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""
+        c = _CLASS.get(w, "O")
+        if w == "a" and last in _GO:  # "voy a matar": one form of a verb
+            continue
+        if w in _OWN_FUTURE or c == "V" and last in _CLITIC:
+            c = "FV"
+        elif w in _DYING:
+            c = "FV" if (_SECOND & set(found[max(0, k - 4) : k]) or w in ("mourras", "mourrez", "crèveras", "morirás", "moriréis")) and (w != "die" or last in _BEFORE_DIE) else "O"
+        elif w in _ONGOING:
+            c = "V" if _CLASS.get(after) == "Y" else "O"
+        elif w == "dice" and after == "que":
+            c = "R"
+        out.append(c)
+    return "".join(out)
+
+
 def clauses(text: str, m: Machine) -> list[tuple[int, int, float]]:
     """Start, end (characters) and score of every clause that scores."""
     found = []
     for c in _CLAUSE.finditer(text):
-        symbols = "".join(_CLASS.get(w, "O") for w in _TOKEN.findall(c.group().lower().replace("’", "'")))
+        symbols = classes(c.group())
         if "I" in symbols or "M" in symbols or "V" in symbols:
             s = best_path(m, symbols)
             if s > 0:

@@ -35,6 +35,21 @@ def test_toxicity_clauses(text, toxic):
     assert (s >= toxicity.TOXIC_FROM) == toxic, s
 
 
+@pytest.mark.parametrize("text,toxic", [
+    ("je vais te tuer", True), ("je te tuerai", True), ("tu vas mourir", True), ("je vais t'égorger", True), ("je ne vais pas te tuer", False), ("il dit qu'il va te tuer", False), ("tu n'es pas un connard", False), ("tu es un connard", True), ("il a dit que tu es un idiot", False), ("le tabac va mourir", False),
+    ("te voy a matar", True), ("voy a matarte", True), ("te mato", True), ("vas a morir", True), ("no te voy a matar", False), ("dijo que te va a matar", False), ("dijo que eres idiota", False), ("dice que eres idiota", False), ("eres idiota", True), ("no eres un idiota", False), ("el rey va a morir", False),
+    ("ich werde dich umbringen", True), ("ich töte dich", True), ("du wirst sterben", True), ("ich werde dich nicht umbringen", False), ("er sagte er wird dich umbringen", False), ("du bist kein Idiot", False), ("er nannte dich Idiot", False), ("du Idiot", True), ("ich will die Katze", False), ("du sollst die Katze holen", False),
+    ("I am killing you", True), ("you will die", True), ("I am not killing you", False), ("he said you will die", False), ("they will die without water", False), ("killing time", False), ("an _idiot_ there", True), ("idiot2", True),
+])
+def test_toxicity_languages(text, toxic):
+    s = sum(c[2] for c in toxicity.clauses(text, toxicity.grammar()))
+    assert (s >= toxicity.TOXIC_FROM) == toxic, (toxicity.classes(text), s)
+    if toxic:  # the filter of rows lets it pass
+        import pyarrow.compute as pc
+
+        assert pc.match_substring_regex([text], toxicity._TRIGGER)[0].as_py()
+
+
 def test_toxicity_composition_agrees_with_cascade():
     """The composed machine gives what the transducers give one after the other."""
     machines = [toxicity.reported(), toxicity.negation(), toxicity.threat(), toxicity.target(), toxicity.weigh()]
