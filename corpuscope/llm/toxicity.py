@@ -5,11 +5,17 @@ reported speech weakens what follows a verb of saying; negation, over a few word
 violent verbs with an intent before them or a person after them; insults
 and threats count more with a target before or after them; the last one gives weights. A clause's score is that of its best
 path, and a document's score the sum over its clauses. A word that no path accepts as an insult or threat scores nothing.
+
+The classes I and M hold the words of LEXICON, and words and stems that fit() learns from labelled documents: by their log-odds, they stand much oftener in
+toxic ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +62,26 @@ _CLAUSE = re.compile(r"[^.!?;\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ALL = "IMVFYPNRO"
 
+#: Bounds of the sample that classes are learned from: distinct labelled texts of either kind, and characters of each (bounds of training only; whole texts are scored).
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_CHARS = 1500, 4000, 8000
+#: Characters of a stem; documents that must hold it; times that it is oftener in toxic texts at least (its lower bound, two standard errors below): for class M, and for class I.
+STEM, STEM_DOCS, MEDIUM, STRONG = range(4, 9), 5, 8.0, 40.0
+
+
+class Learned(NamedTuple):
+    """Classes of words (ending in "$") and stems; and the mean score per word of clean texts, which long texts reach by chance."""
+
+    units: dict[str, str]
+    rate: float
+
+
+NONE = Learned({}, 0.0)
+
+
+def units(word: str) -> list[str]:
+    """The word and its stems."""
+    return [word[:k] for k in STEM if k < len(word)] + [word + "$"]
+
 #: A transducer: start state, arcs {(state, symbol read): [(symbol written, weight, next state)]}. All states accept. "" is written for nothing.
 Machine = tuple[str, dict[tuple[str, str], list[tuple[str, float, str]]]]
 
@@ -171,7 +197,15 @@ def best_path(m: Machine, symbols: str) -> float:
     return max((s for q, s in at.items() if q[2] != "g"), default=0.0)
 
 
-def classes(clause: str) -> str:
+def _class(w: str, learned: dict[str, str]) -> str:
+    """Class of a word: that of LEXICON, else its own learned one, else that of its longest learned stem."""
+    c = _CLASS.get(w)
+    if c is None and learned:
+        c = next((learned[u] for u in reversed(units(w)) if u in learned), None)
+    return c or "O"
+
+
+def classes(clause: str, learned: dict[str, str] = NONE.units) -> str:
     """The word classes of a clause. Elided words ("n'es", "t'égorge") are two; what a verb's form or neighbours say of intent is written as an F before it."""
     found: list[str] = []
     for w in _TOKEN.findall(clause.lower().replace("’", "'")):
@@ -180,7 +214,7 @@ def classes(clause: str) -> str:
     out = []
     for k, w in enumerate(found):
         last, after = found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""
-        c = _CLASS.get(w, "O")
+        c = _class(w, learned)
         if w == "a" and last in _GO:  # "voy a matar": one form of a verb
             continue
         if w in _OWN_FUTURE or c == "V" and last in _CLITIC:
@@ -195,11 +229,11 @@ def classes(clause: str) -> str:
     return "".join(out)
 
 
-def clauses(text: str, m: Machine) -> list[tuple[int, int, float]]:
+def clauses(text: str, m: Machine, learned: dict[str, str] = NONE.units) -> list[tuple[int, int, float]]:
     """Start, end (characters) and score of every clause that scores."""
     found = []
     for c in _CLAUSE.finditer(text):
-        symbols = classes(c.group())
+        symbols = classes(c.group(), learned)
         if "I" in symbols or "M" in symbols or "V" in symbols:
             s = best_path(m, symbols)
             if s > 0:
@@ -207,26 +241,89 @@ def clauses(text: str, m: Machine) -> list[tuple[int, int, float]]:
     return found
 
 
-def toxic_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """id_col, toxicity (the sum of the clauses' scores, rounded to 4 digits), toxic_clauses (array of start, end in characters, and score), for documents of toxic_from at least.
+def trigger(learned: dict[str, str]) -> str:
+    """A regular expression that every text with a clause that scores matches."""
+    stems = "|".join(re.escape(u) for u in sorted(u for u in learned if not u.endswith("$")))
+    words = "|".join(re.escape(u[:-1]) for u in sorted(u for u in learned if u.endswith("$")))
+    out = _TRIGGER
+    if stems:
+        out += r"|(?i:(?:^|[^\p{L}])(?:" + stems + "))"
+    if words:
+        out += r"|(?i:(?:^|[^\p{L}])(?:" + words + r")(?:$|[^\p{L}]))"
+    return out
+
+
+def learn(texts: list[tuple[str, bool]]) -> Learned:
+    """Classes from texts and whether they are toxic. A unit counts in a text twice at most, and the standard error goes by texts, so that no single text makes a class."""
+    n, d = ({True: Counter(), False: Counter()} for _ in range(2))
+    total = {True: 0, False: 0}
+    for kind in (True, False):
+        of: dict[str, list[str]] = {}  # the units of a word that can become classes
+        for text, toxic in texts:
+            if toxic != kind:
+                continue
+            own: Counter = Counter()
+            for w, k in Counter(_TOKEN.findall(text.lower().replace("’", "'"))).items():
+                total[kind] += k
+                if w not in of:
+                    of[w] = [] if w in _CLASS else units(w) if kind else [u for u in units(w) if d[True][u] >= STEM_DOCS]
+                for u in of[w]:
+                    own[u] += k
+            for u, k in own.items():
+                n[kind][u] += min(k, 2)
+                d[kind][u] += 1
+    found: dict[str, str] = {}
+    for u in sorted(n[True], key=len):
+        if d[True][u] >= STEM_DOCS and total[False]:
+            odds = math.log((n[True][u] + 0.5) / total[True]) - math.log((n[False][u] + 0.5) / total[False])
+            low = odds - 2 * math.sqrt(1 / (d[True][u] + 0.5) + 1 / (d[False][u] + 0.5))
+            if low > math.log(MEDIUM):
+                c = "I" if low > math.log(STRONG) else "M"
+                stem = next((found[v] for v in reversed(units(u.rstrip("$"))) if v in found and v != u), None)
+                if stem is None or stem == "M" and c == "I":  # else its stem says so already
+                    found[u] = c
+    m, score, clean = grammar(), 0.0, pa.array([text for text, toxic in texts if not toxic], pa.string())
+    for text in clean.filter(pc.match_substring_regex(clean, trigger(found))).to_pylist():
+        score += sum(c[2] for c in clauses(text, m, found))
+    return Learned(found, score / max(1, total[False]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Learned:
+    """Classes learned from docs and their labels (id_col, label_col: toxic if above 0), by a sample of bounded size: of either kind the ids of the smallest hashes.
+
+    Null ids, labels and texts, and empty texts, are no examples; an id that is labelled repeatedly is toxic if one of its labels says so; equal texts count once. With
+    no toxic or no clean example nothing is learned.
+    """
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg((F.max(label_col) > 0).alias("toxic_"))
+    pick = lambda kind, n: own.where(F.col("toxic_") == kind).orderBy(F.xxhash64("l_id"), "l_id").limit(n)
+    sample = pick(True, toxic_rows).unionAll(pick(False, clean_rows))  # bounded, so that it can be broadcast
+    text = docs.select(F.col(id_col).alias("d_id"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t_"))
+    got = text.join(F.broadcast(sample), F.col("d_id") == F.col("l_id")).where(F.length("t_") > 0).groupBy("t_").agg(F.max("toxic_").alias("toxic_")).collect()
+    return learn(sorted((r.t_, r.toxic_) for r in got))
+
+
+def toxic_documents(docs: DataFrame, learned: Learned = NONE, *, id_col: str = "doc_id", text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """id_col, toxicity (the sum of the clauses' scores, rounded to 4 digits), toxic_clauses (array of start, end in characters, and score), for documents
+    of toxic_from at least, and three times what clean texts of as many words score more.
 
-    Documents below, those with null or empty texts too, have no row. Ids may be null or repeated: each row is scored by its text alone, so
-    equal rows give equal rows. Whole texts are read, whatever their length. Other columns are not looked at, and none can clash with the result's own.
+    Documents below, those with null or empty texts too, have no row; an empty table has none. Ids may be null or repeated: each row is scored by its text alone, so
+    equal rows give equal rows. Whole texts are read, whatever their length. Of paths with equal weights any gives the same score. Other columns are not looked at, and none can clash with the result's own.
     """
     kind = dict(docs.dtypes)[id_col]
     d = docs.select(F.col(id_col), F.col(text_col).alias("t_"))
-    m = grammar()
+    m, known, only = grammar(), learned.units, trigger(learned.units)
 
     def run(batches):
         for batch in batches:
             # only clauses with one of these words can score
-            hit = pc.fill_null(pc.match_substring_regex(batch.column(1), _TRIGGER), False)
+            hit = pc.fill_null(pc.match_substring_regex(batch.column(1), only), False)
             rows = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
             got = []
             for r in rows:
-                c = clauses(batch.column(1)[int(r)].as_py(), m)
+                text = batch.column(1)[int(r)].as_py()
+                c = clauses(text, m, known)
                 s = round(sum(x[2] for x in c), 4)
-                if s >= toxic_from:
+                if s >= toxic_from and (not learned.rate or s >= toxic_from + 3 * learned.rate * len(_TOKEN.findall(text))):
                     got.append((int(r), s, [{"start": a, "end": b, "score": x} for a, b, x in c]))
             if got:
                 shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -236,4 +333,5 @@ def toxic_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxic_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return toxic_documents(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -79,6 +79,54 @@ def test_toxicity_table(spark):
     assert toxicity.toxic_documents(d.where("false")).count() == 0
 
 
+def labelled(r, n, stems=("grumb", "zwell")):
+    """Texts of invented words; toxic ones hold two to five words of stems that clean ones hardly have, in two invented languages."""
+    out = []
+    for k in range(n):
+        lang, toxic = k % 2, r.random() < 0.3
+        ws = [f"{'pa' if lang else 'lo'}{r.choice('abcdefgh')}{r.choice('mnrst')}{r.choice('aeiou')}" for _ in range(r.randrange(20, 60))]
+        for _ in range(r.randrange(2, 6) if toxic else r.random() < 0.02):
+            ws.insert(r.randrange(len(ws)), stems[lang] + r.choice(["ak", "el", "im", "or", "ux"]))
+        out.append((k, ". ".join(" ".join(ws[i : i + 9]) for i in range(0, len(ws), 9)), "s", lang, toxic))
+    return out
+
+
+def test_toxicity_learned_classes(spark):
+    """Held-out recall by language, and a plain count of the odds."""
+    r = random.Random(4)
+    train, test = labelled(r, 600), labelled(r, 300)
+    labels = spark.createDataFrame([(d[0], int(d[4])) for d in train] + [(None, 1), (0, None), (10**6, 1)], "doc_id long, toxic int")
+    learned = toxicity.fit(frame(spark, [d[:3] for d in train]), labels)
+    n = {t: Counter() for t in (True, False)}
+    for d in train:
+        for u in {u for w in d[1].replace(".", "").split() for u in toxicity.units(w)}:
+            n[d[4]][u] += 1
+    for u in learned.units:
+        share = [(n[t][u] + 0.5) / sum(d[4] == t for d in train) for t in (True, False)]
+        assert n[True][u] >= toxicity.STEM_DOCS and share[0] / share[1] > toxicity.MEDIUM / 2, u
+    assert all(u.startswith(("grum", "zwel")) for u in learned.units) and {u[0] for u in learned.units} == {"g", "z"}
+    got = {x.doc_id for x in toxicity.toxic_documents(frame(spark, [d[:3] for d in test]), learned).collect()}
+    for lang in (0, 1):
+        assert np.mean([d[0] in got for d in test if d[3] == lang and d[4]]) >= 0.95
+        assert np.mean([d[0] not in got for d in test if d[3] == lang and not d[4]]) >= 0.95
+
+
+def test_toxicity_learns_nothing(spark):
+    d = frame(spark, [*ODD, (7, "fine day", "s")])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(d, none) == toxicity.NONE
+    assert toxicity.fit(d.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) == toxicity.NONE
+    assert toxicity.fit(d, spark.createDataFrame([(7, 0), (5, 0), (4, 0)], "doc_id long, toxic int")) == toxicity.NONE
+
+
+def test_toxicity_longest_stem_decides():
+    learned = {"grum": "M", "grumbl": "I", "zwellak$": "I"}
+    assert toxicity.classes("grumax grumblox zwellak zwell", learned) == "MIIO"
+    import pyarrow.compute as pc
+
+    assert pc.match_substring_regex(["a grumax", "zwellak!", "zwellaks", "nogrum"], toxicity.trigger(learned)).to_pylist() == [True, True, False, False]
+
+
 # --- 2 PII
 
 
