@@ -220,11 +220,12 @@ def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarr
     their differences; and the sets (hash, document, whether it lacks units) whose own hash falls here."""
     order = np.argsort(sig)
     sig, row, looks = sig[order], row[order], looks[order]
-    step = np.uint64((2**64 - 1) // nb + 1)
-    bound = np.searchsorted(sig // step, np.arange(nb + 1).astype(np.uint64))
-    shift = np.uint64(max(0, int(step - np.uint64(1)).bit_length() - _BITS))
+    step = -(-(2**64) // nb)  # a Python integer: that of a single bucket has 65 bits
+    low = np.array([b * step for b in range(nb)], np.uint64)  # where buckets begin
+    bound = np.append(np.searchsorted(sig, low), len(sig))
+    shift = np.uint64(max(0, (step - 1).bit_length() - _BITS))
     real = np.flatnonzero(size > 0)
-    o2, b2 = split_by((sets[real].view(np.uint64) // step).astype(np.int64), nb)
+    o2, b2 = split_by(np.searchsorted(low, sets[real].view(np.uint64), "right") - 1, nb)
     real = real[o2]
     out, number = [], np.zeros(len(sets), np.uint16)
     for b in np.flatnonzero((np.diff(bound) > 0) | (np.diff(b2) > 0)):
@@ -234,7 +235,7 @@ def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarr
         here[r] = True
         own = np.flatnonzero(here)
         number[own] = np.arange(len(own))
-        h = (sig[s] - np.uint64(b) * step) >> shift
+        h = (sig[s] - low[b]) >> shift
         gaps = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]
         marked = number[r] | np.where(looks[s], _LOOKS, np.uint16(0))
         out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), len(h), len(d)], np.int64), sets[own], size[own].astype(np.uint32), sets[d], ids[d], lacking[d].astype(np.int64), np.ascontiguousarray(gaps.T), marked.astype(np.uint16)))))
@@ -310,12 +311,18 @@ def _candidates(t_: float, bands: Bands):
         large, small = size[both >> 32], size[both & 0xFFFFFFFF]
         need = np.where(bands.coarse[bands.of(large)] if len(large) else False, 1, np.minimum(AGREE, np.minimum(_least(large, t_), _least(small, t_))))
         # documents of sets that several documents have, and of sets that lack units
+        lack = np.flatnonzero(l2 > 0)
+        lack = lack[np.unique(s2[lack], return_index=True)[1]]
+        lack_d, lack_s = d2[lack], s2[lack]
+        order = np.lexsort((d2, s2))
+        s2, d2 = s2[order], d2[order]
+        once = np.append(True, (s2[1:] != s2[:-1]) | (d2[1:] != d2[:-1]))[: len(s2)]
+        s2, d2 = s2[once], d2[once]
         _, w, n = np.unique(s2, return_inverse=True, return_counts=True)
         dup = n[w] > 1
-        lack = np.flatnonzero(l2 > 0)
-        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(int(dup.sum()), np.int32), np.full(len(lack), 2, np.int32)])
-        left = np.concatenate([np.minimum(a, b), d2[dup], d2[lack]])
-        right = np.concatenate([np.maximum(a, b), s2[dup], s2[lack]])
+        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(int(dup.sum()), np.int32), np.full(len(lack_s), 2, np.int32)])
+        left = np.concatenate([np.minimum(a, b), d2[dup], lack_d])
+        right = np.concatenate([np.maximum(a, b), s2[dup], lack_s])
         n, m = (np.concatenate([v, np.ones(len(kind) - len(a), np.int64)]).astype(np.int32) for v in (agree, need))
         return pa.table({"kind": kind, "a": left.astype(np.int64), "b": right.astype(np.int64), "agree": n, "need": m})
 
@@ -342,9 +349,12 @@ HOME_PAIRS = 1 << 20
 LABEL_ROUNDS = 1
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough, the smallest ids of both (which may be one, if an id is repeated), and their exact similarity. A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
-    which is mostly the same for a whole group. Homes of very many pairs are cut by both ends."""
+def _verified(pairs: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """For each set of the candidate pairs (a, b) that is similar to another, in each task where it has such pairs: s, doc (the smallest id of its documents), n (its documents), links (the
+    documents of similar sets) and root, the smallest doc of those that similar pairs of this task join. The pairs stay in their task.
+
+    A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
+    which is mostly the same for a whole group. Homes of very many pairs are cut by both ends. copies: s, first, n of sets that several documents have."""
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(pairs.select("b", "a"))
     label = ends.groupBy("v").agg(F.least(F.min("u"), F.min("v")).alias("home"))
     for _ in range(LABEL_ROUNDS - 1):
@@ -357,47 +367,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     homed = homed.select("home", part("a").alias("pa"), part("b").alias("pb"), "a", "b")
     keys = ["home", "pa", "pb"]
     needed = homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct()
-    sent = needed.select(F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), F.col("s")).join(sets, "s")
+    named = needed.join(copies.select(F.col("s").alias("s2"), "first", "n"), F.col("s") == F.col("s2"), "left")
+    sent = named.select(F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), "s", "first", "n").join(sets, "s")
 
     def verify(p: pa.Table, q: pa.Table) -> pa.Table:
         sets: dict = {}
         doc: dict = {}
-        for s, d, g in zip(q.column("s").to_pylist(), q.column("doc").to_pylist(), q.column("grams").to_pylist()):
+        many: dict = {}
+        for s, d, first, n, g in zip(*(q.column(c).to_pylist() for c in ("s", "doc", "first", "n", "grams"))):
             if s not in sets:
-                sets[s] = _wide(g)
-            doc[s] = min(d, doc.get(s, d))
-        sa, sb, da, db, j = [], [], [], [], []
+                sets[s], many[s] = _wide(g), n or 1
+                doc[s] = d if first is None else first
+        links = dict.fromkeys(sets, 0)
+        up = {s: s for s in sets}
+
+        def root(v):
+            while up[v] != v:
+                up[v] = v = up[up[v]]
+            return v
+
         for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist()):
             if a in sets and b in sets:
                 z = np.concatenate([sets[a], sets[b]])
                 z.sort()
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
-                s = both / (len(z) - both)
-                if s >= threshold - 1e-12:
-                    sa.append(a)
-                    sb.append(b)
-                    da.append(doc[a])
-                    db.append(doc[b])
-                    j.append(round(s, 6))
-        return pa.table({"a": pa.array(sa, pa.int64()), "b": pa.array(sb, pa.int64()), "da": pa.array(da, pa.int64()), "db": pa.array(db, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+                if both / (len(z) - both) >= threshold - 1e-12:
+                    links[a] += many[b]
+                    links[b] += many[a]
+                    a, b = root(a), root(b)
+                    if a != b:
+                        if (doc[a], a) < (doc[b], b):
+                            a, b = b, a
+                        up[a] = b
+        own = [s for s in sets if links[s]]
+        return pa.table([pa.array(x, pa.int64()) for x in (own, [doc[s] for s in own], [many[s] for s in own], [links[s] for s in own], [doc[root(s)] for s in own])], names=["s", "doc", "n", "links", "root"])
 
-    return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "a long, b long, da long, db long, jaccard double")
+    return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "s long, doc long, n long, links long, root long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """s, doc, grams (packed) of the documents with one of the wanted sets (column s). Their hashes are broadcast if they're few, else joined."""
+    """s, doc, grams (packed) of the documents with one of the wanted sets (column s), of equal sets of a batch one. Their hashes are broadcast if they're few, else joined."""
     many = wanted.count()
     few = many <= BROADCAST_SETS
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["s"].to_numpy()) if few else None)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, seen = batch.column(0).to_numpy(), np.zeros(0, np.int64)
             buf, off = utf8(batch.column(1), lower=True)
             for i, j in chunks(off):
                 x, at = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 s = set_hash(x, at)
-                keep = np.diff(at) > 0
+                keep = (np.diff(at) > 0) & ~np.isin(s, seen)
+                keep[np.setdiff1d(np.arange(len(s)), np.unique(s, return_index=True)[1])] = False
+                seen = np.append(seen, s[keep])
                 if shared.value is not None:
                     known = shared.value
                     keep &= known[np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))] == s if len(known) else False
@@ -455,9 +478,9 @@ def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
 
 
 def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Similar sets (a, b, their smallest ids da and db, jaccard), and the documents (m) of each set (s) that more than one row has."""
+    """What _verified() finds, and the documents (m) of each set (s) that several have."""
     spark = docs.sparkSession
-    nb = max(2, -(-buckets(spark) // 4))  # entries are small: fewer buckets, and so fewer of them that find the same pair; the width of a single one would not fit 64 bits
+    nb = max(1, -(-buckets(spark) // 2))  # entries are small: fewer buckets, and so fewer of them that find the same pair
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t_"))
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
@@ -485,42 +508,37 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()
     if lacking.count():
         pairs = checkpointed(pairs.union(_lookup(d, _sets_of(d, lacking, n), n, threshold)).distinct())
-    near = _verified(pairs, _sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n), threshold)
-    return near, raw.where("kind = 1").select(F.col("b").alias("s"), F.col("a").alias("m"))
-
-def _ordered(pairs: DataFrame, a: F.Column, b: F.Column) -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard, once; no document with itself."""
-    return pairs.where(a != b).select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard")
-
-
-def similar_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard (rounded to 6 digits), at least threshold.
-
-    Documents with the same set of grams are one, which goes by their smallest id: each of the others has one row, with that id and 1.0.
-    All pairs of different sets have a row with the ids that they go by. So the pairs of all documents follow, with no rows that grow by the square of the copies.
-
-    Words are runs of letters and digits, in lower case; a text of 1 to ngram - 1 words has one gram, of all its words. Rows with a null
-    id, a null or empty text, or no words are in no pair. Rows of equal id and text are one document; an id that is repeated with
-    other texts may be in the pairs of each, but not in one with itself. An empty docs has no pairs. Other columns are not looked at.
-    """
-    near, members = _similar_sets(docs, id_col, text_col, ngram, threshold)
-    first = members.groupBy(F.col("s").alias("s1")).agg(F.min("m").alias("doc_id_a"))
-    copies = members.join(first, F.col("s") == F.col("s1")).where("m <> doc_id_a").select("doc_id_a", F.col("m").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return _ordered(near, F.col("da"), F.col("db")).unionAll(copies).distinct()
-
-
-def all_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard of every pair of documents that are similar enough: similar_pairs() with all documents of a set in place of its smallest id.
-
-    Rows grow by the square of the copies, as the pairs do.
+    members = raw.where("kind = 1").select(F.col("b").alias("s"), F.col("a").alias("m"))
+    copies = members.groupBy("s").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    return _verified(pairs, _sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n), copies, threshold), members
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
+    """doc, class_id and links of the documents that have a link. An id that is repeated with other texts has a row for each set of grams."""
+    found, members = _similar_sets(docs, id_col, text_col, ngram, threshold)
+    found = checkpointed(found)
+    near = found.groupBy("s").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.sum("links").alias("links"))
+    copies = members.join(near.select(F.col("s").alias("s1"), F.col("links").alias("others")), F.col("s") == F.col("s1"), "left")
+    own = members.groupBy(F.col("s").alias("s2")).agg(F.min("m").alias("doc"), F.count(F.lit(1)).alias("n"))
+    copies = copies.join(own, F.col("s") == F.col("s2")).select("m", "doc", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    linked = copies.unionAll(near.where("n = 1").select(F.col("doc").alias("m"), "doc", "links"))
+    # a document's class goes by the one whose id its set goes by
+    roots = components(found.select(F.col("doc").alias("doc_id_a"), F.col("root").alias("doc_id_b"))).select(F.col("doc").alias("d1"), "root")
+    return linked.join(roots, F.col("doc") == F.col("d1"), "left").select(F.col("m").alias("doc"), F.coalesce("root", "doc").alias("class_id"), "links")
+
+
+def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for every id: doc_id; class_id, the smallest id of the documents that pairs of threshold at least join with it, step by step; and links, the number of other documents that are in such a pair with it.
+
+    Every pair counts, of copies and of different texts; pairs are verified and counted where they meet and aren't emitted, so rows don't grow with them.
+    Words are runs of letters and digits, in lower case; a text of 1 to ngram - 1 words has one gram, of all its words. A null or empty text, or one without words,
+    has no links and is its own class. Rows with a null id have no row. Rows of equal id and text are one document; an id that is repeated with
+    other texts has the smallest class of its texts, and the sum of their links. Whole texts are compared, whatever their length, by 48-bit hashes of their grams; equal sets by a 64-bit hash. Of equal ids in a tie
+    nothing depends on order. An empty docs has no rows. Other columns are not looked at. Ids must be integers.
     """
-    near, members = _similar_sets(docs, id_col, text_col, ngram, threshold)
-    members = checkpointed(members)
-    of = lambda k: members.select(F.col("s").alias(f"s{k}"), F.col("m").alias(f"m{k}"))
-    near = near.join(of(1), F.col("a") == F.col("s1"), "left").join(of(2), F.col("b") == F.col("s2"), "left")
-    near = _ordered(near, F.coalesce("m1", "da"), F.coalesce("m2", "db"))
-    copies = of(1).join(of(2), (F.col("s1") == F.col("s2")) & (F.col("m1") < F.col("m2"))).select(F.col("m1").alias("doc_id_a"), F.col("m2").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionAll(copies).distinct()
+    linked = _linked(docs, id_col, text_col, ngram, threshold).groupBy("doc").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    return ids.join(linked, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -540,30 +558,30 @@ def components(pairs: DataFrame) -> DataFrame:
             return roots
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with only the document of the smallest id of each group of similar ones (groups are connected by pairs). Rows with a null id, and repeated rows of a document that stays, stay."""
-    c = components(similar_pairs(docs, id_col=id_col, text_col=text_col, **options))
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with only the document of the smallest id of each class of similar ones, see similar_classes(). Rows with a null id or without words, and repeated rows of a document that stays, stay; an id
+    that is repeated with other texts stays if it is the smallest of the class of one of them. Extra columns pass through."""
+    linked = _linked(docs, id_col, text_col, ngram, threshold)
     gone = fresh(docs, "gone_id")[0]
-    gone_rows = c.where("doc <> root").select(F.col("doc").alias(gone))
+    gone_rows = linked.groupBy(F.col("doc").alias(gone)).agg(F.min(F.col("class_id") != F.col("doc")).alias("later")).where("later").select(gone)
     return docs.join(gone_rows, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "documents"))
-
-
-def op8_ngram_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(table(spark, sf_dir, "documents"))
+    return similar_classes(table(spark, sf_dir, "documents"))
 
 
 def sql() -> str:
     n = NGRAM
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) END AS g FROM d WHERE len(w) > 0),
-c AS (SELECT g, min(doc_id) AS doc_id FROM s GROUP BY g),
-copies AS (SELECT c.doc_id AS doc_id_a, s.doc_id AS doc_id_b, 1.0::DOUBLE AS jaccard FROM s JOIN c ON s.g = c.g WHERE s.doc_id <> c.doc_id),
-e AS (SELECT doc_id, len(g) AS size, unnest(g) AS x FROM c),
-p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n, any_value(a.size) AS sa, any_value(b.size) AS sb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT * FROM copies UNION
-SELECT i, j, round(n / (sa + sb - n)::DOUBLE, 6) FROM p WHERE n / (sa + sb - n)::DOUBLE >= {THRESHOLD} - 1e-12"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) END AS g FROM d WHERE len(w) > 0),
+e AS (SELECT doc_id, len(g) AS size, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n, any_value(a.size) AS sa, any_value(b.size) AS sb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+q AS MATERIALIZED (SELECT i, j FROM p WHERE n / (sa + sb - n)::DOUBLE >= {THRESHOLD} - 1e-12),
+both AS MATERIALIZED (SELECT i, j FROM q UNION ALL SELECT j, i FROM q),
+links AS (SELECT i, count(*) AS links FROM both GROUP BY i),
+reach AS (SELECT i, i AS j FROM both UNION SELECT r.i, b.j FROM reach r JOIN both b ON r.j = b.i),
+class AS (SELECT i, min(j) AS class_id FROM reach GROUP BY i),
+ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links FROM ids LEFT JOIN links ON doc_id = links.i LEFT JOIN class ON doc_id = class.i"""

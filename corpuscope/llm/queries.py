@@ -15,7 +15,6 @@ def queries() -> dict:
         "op5_language_id": langid.op5_language_id,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
-        "op8_ngram_jaccard_all": jaccard.op8_ngram_jaccard_all,
         "op9_repeat_removal": dedup.op9_repeat_removal,
         "op10_neighbours": neighbours.op10_neighbours,
     }

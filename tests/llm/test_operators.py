@@ -445,25 +445,32 @@ def test_mixing(spark):
 
 
 def slow_pairs(docs, n, t):
+    """Every two documents, with nothing folded."""
     sets = {}
     for i, text, _ in docs:
         w = (text or "").lower().split()
-        g = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-        if g and i is not None:
-            sets.setdefault(frozenset(g), []).append(i)
-    out = {}
-    for ids in sets.values():
-        for i in ids:
-            if i != min(ids):
-                out[min(ids), i] = 1.0
-    keys = list(sets)
-    for a in range(len(keys)):
-        for b in range(a):
-            x, y = keys[a], keys[b]
-            j = len(x & y) / len(x | y)
-            if j >= t - 1e-12:
-                out[tuple(sorted((min(sets[x]), min(sets[y]))))] = round(j, 6)
-    return out
+        if w and i is not None:
+            sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t - 1e-12}
+
+
+def slow_classes(docs, n, t):
+    pairs = slow_pairs(docs, n, t)
+    root = {d[0]: d[0] for d in docs}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    links = Counter(x for p in pairs for x in p)
+    return {i: (root[i], links[i]) for i in root}
+
+
+def classes_of(df, **options):
+    got = jaccard.similar_classes(df, **options).collect()
+    assert len({x.doc_id for x in got}) == len(got)
+    return {x.doc_id: (x.class_id, x.links) for x in got}
 
 
 def copies(r, n=60):
@@ -479,8 +486,35 @@ def copies(r, n=60):
 @pytest.mark.parametrize("n,t", [(1, 0.8), (2, 0.7), (4, 0.5)])
 def test_pairs(spark, n, t):
     docs = copies(random.Random(n))
-    got = {(x.doc_id_a, x.doc_id_b): x.jaccard for x in jaccard.similar_pairs(frame(spark, docs), ngram=n, threshold=t).collect()}
-    assert got == slow_pairs(docs, n, t)
+    assert classes_of(frame(spark, docs), ngram=n, threshold=t) == slow_classes(docs, n, t)
+
+
+@pytest.mark.parametrize("nb", [1, 2, 3, 5, 200])
+def test_pairs_at_any_number_of_buckets(nb):
+    """Signatures, sets and documents come through the blobs of any number of buckets."""
+    r = np.random.default_rng(nb)
+    sig = r.integers(0, 2**64, 500, dtype=np.uint64, endpoint=False)
+    sig[:3] = 0, 2**64 - 1, 2**63
+    row, sets, size = r.integers(0, 40, 500), r.integers(-(2**63), 2**63 - 1, 40), np.full(40, 9)
+    out = jaccard._send(sig, row, np.zeros(500, bool), np.zeros(40, bool), np.arange(40), sets, size, nb)
+    assert set(out.column(0).to_pylist()) <= set(range(nb))
+    entries, docs = 0, []
+    for blob in out.column(1).to_pylist():
+        n, m, k = np.frombuffer(blob, np.int64, 3)
+        entries += m
+        docs += np.frombuffer(blob, np.int64, k, 24 + 12 * n + 8 * k).tolist()
+    assert entries == 500 and sorted(docs) == list(range(40))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_pairs_at_other_partitions(spark, parts):
+    docs = copies(random.Random(33), 30)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_pigeonhole_finds_all():
@@ -508,40 +542,37 @@ def test_pairs_of_sets_that_lack_units(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "DELETION", 50.0)
     monkeypatch.setattr(jaccard, "SMALL", 0)
     monkeypatch.setattr(jaccard.Bands, "allocate", lambda self, docs, single: self.coarse.fill(True))
-    got = {(x.doc_id_a, x.doc_id_b): x.jaccard for x in jaccard.similar_pairs(frame(spark, docs)).collect()}
-    assert got == slow_pairs(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
 
 
 def test_pairs_table(spark):
     odd = [*ODD, (7, "Same WORDS again, and again: here now", None)]
     d = frame(spark, odd).withColumn("gone_id", F.lit(1))
-    assert {(x.doc_id_a, x.doc_id_b) for x in jaccard.similar_pairs(d).collect()} == {(5, 7)}
+    assert classes_of(d) == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (5, 1), 7: (5, 1)}
     left = jaccard.keep_one(d).collect()
     assert len(left) == len(odd) - 1 and 7 not in [x.doc_id for x in left]
-    assert jaccard.similar_pairs(d.where("false")).count() == 0 and jaccard.keep_one(d.where("false")).count() == 0
+    assert jaccard.similar_classes(d.where("false")).count() == 0 and jaccard.keep_one(d.where("false")).count() == 0
 
 
-def unfolded_pairs(docs, n, t):
-    """Every two documents, with nothing folded."""
-    sets = {}
-    for i, text, _ in docs:
-        w = text.lower().split()
-        if w:
-            sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
-    return {(a, b): round(j, 6) for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t - 1e-12}
-
-
-def test_all_pairs(spark):
-    """Copies other than the smallest id have their pairs too, also with near ones."""
+def test_links_of_copies(spark):
+    """Copies other than the smallest id have their links too, also with near ones."""
     r = random.Random(21)
     a, b = prose(r, 80, 300), prose(r, 5, 300)
     docs = [(k, x, "s") for k, x in enumerate([a, a, near(r, a, 0.03), a, b, near(r, a, 0.02), b, b])]
     docs[6] = (6, docs[2][1], "s")
     docs += [(10 + k, x, s) for k, x, s in copies(r, 30)]
-    want = unfolded_pairs(docs, jaccard.NGRAM, jaccard.THRESHOLD)
-    assert {(1, 3), (1, 6), (3, 6), (2, 3)} <= set(want)
-    got = jaccard.all_pairs(frame(spark, docs)).collect()
-    assert len(got) == len(want) and {(x.doc_id_a, x.doc_id_b): x.jaccard for x in got} == want
+    want = slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    assert {(1, 3), (1, 6), (3, 6), (2, 3)} <= slow_pairs(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    assert classes_of(frame(spark, docs)) == want
+
+
+def test_homes_that_are_cut(spark, monkeypatch):
+    """Groups whose pairs are verified in several tasks."""
+    r = random.Random(5)
+    a = prose(r, 120, 3000)
+    docs = [(k, near(r, a, 0.03), "s") for k in range(30)] + [(30, docs_a := near(r, a, 0.01), "s"), (31, docs_a, "s")]
+    monkeypatch.setattr(jaccard, "HOME_PAIRS", 20)
+    assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
 
 
 def test_components(spark):
