@@ -185,14 +185,17 @@ def _statistics(docs: DataFrame, n: int, bands: Bands) -> tuple[np.ndarray, np.n
         rest = np.where(cells <= least, cells, 0).astype(np.float64)
         f2 = float((rest * (rest - 1)).sum()) / total
         for k, c in enumerate(np.split(cells, PARTS)):
-            high = np.flatnonzero(c > least).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.concatenate([np.diff(high, prepend=np.uint32(0)), c[high].astype(np.uint32)]).tobytes()]), pa.array([sizes.tobytes() if k == 0 else b""]), pa.array([f2 if k == 0 else 0.0])], names=["part", "cells", "sizes", "f2"])
+            high = c > least
+            high[::200] = True  # so that gaps fit a byte
+            high = np.flatnonzero(high)
+            gaps, many = np.diff(high, prepend=0).astype(np.uint8), c[high].astype("<u4").view(np.uint8).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([gaps.tobytes() + np.ascontiguousarray(many).tobytes()]), pa.array([sizes.tobytes() if k == 0 else b""]), pa.array([f2 if k == 0 else 0.0])], names=["part", "cells", "sizes", "f2"])
 
     def add(t: pa.Table) -> pa.Table:
         cells, sizes = np.zeros(CELLS // PARTS, np.int64), np.zeros(len(bands.low), np.int64)
         for c, z in zip(t.column("cells").to_pylist(), t.column("sizes").to_pylist()):
-            c = np.frombuffer(c, np.uint32)
-            cells[np.cumsum(c[: len(c) // 2], dtype=np.int64)] += c[len(c) // 2 :]
+            c = np.frombuffer(c, np.uint8).reshape(5, -1)
+            cells[np.cumsum(c[0], dtype=np.int64)] += np.ascontiguousarray(c[1:].T).view("<u4").reshape(-1)
             sizes += np.frombuffer(z, np.int64) if z else 0
         high = np.flatnonzero(cells >= POPULAR * total)
         return pa.table({"part": t.column("part")[:1], "cells": pa.array([np.concatenate([high, cells[high]]).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "f2": [sum(t.column("f2").to_pylist())]})
@@ -209,8 +212,10 @@ def _statistics(docs: DataFrame, n: int, bands: Bands) -> tuple[np.ndarray, np.n
     return sizes, level, f2 / total
 
 
-#: Bits of signatures within a bucket.
-_BITS = 40
+#: Bits of signatures within a bucket; entries that differ beyond them agree by mistake, which verification mends.
+_BITS = 32
+#: Bytes of text whose entries a task holds at once.
+SEND = 8 << 20
 _ROW = np.uint16(0x7FFF)
 _LOOKS = np.uint16(0x8000)
 
@@ -235,8 +240,8 @@ def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarr
         here[r] = True
         own = np.flatnonzero(here)
         number[own] = np.arange(len(own))
-        h = (sig[s] - low[b]) >> shift
-        gaps = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]
+        h = ((sig[s] - low[b]) >> shift).astype(np.uint32)
+        gaps = np.diff(h, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)
         marked = number[r] | np.where(looks[s], _LOOKS, np.uint16(0))
         out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), len(h), len(d)], np.int64), sets[own], size[own].astype(np.uint32), sets[d], ids[d], lacking[d].astype(np.int64), np.ascontiguousarray(gaps.T), marked.astype(np.uint16)))))
     return packed(out)
@@ -247,7 +252,13 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return k, np.bincount(w, np.concatenate(n), len(k)).astype(np.int64)
 
 
-def _candidates(t_: float, bands: Bands):
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _candidates(t_: float, bands: Bands, parts: int):
+    """Of a bucket of entries, blobs by part of a pair's smaller hash: each a with its bs, entries that agree, and those that must; members of sets; sets that lack units."""
+
     def run(t: pa.Table) -> pa.Table:
         sets, sizes, h, row, s2, d2, l2, base = [], [], [], [], [], [], [], 0
         for x in t.column("payload"):
@@ -257,19 +268,17 @@ def _candidates(t_: float, bands: Bands):
             for into, many, kind in ((sets, n, np.int64), (sizes, n, np.uint32), (s2, k, np.int64), (d2, k, np.int64), (l2, k, np.int64)):
                 into.append(np.frombuffer(blob, kind, many, at))
                 at += into[-1].nbytes
-            width = _BITS // 8
-            wide = np.zeros((m, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(blob, np.uint8, m * width, at).reshape(width, m).T
-            h.append(np.cumsum(wide.view(np.uint64).reshape(-1), dtype=np.uint64))
-            marked = np.frombuffer(blob, np.uint16, m, at + m * width)
-            row.append(((marked & _ROW).astype(np.int64) + base) << 1 | (marked >= _LOOKS))
+            h.append(np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * m, at).reshape(4, m).T).view(np.uint32).reshape(-1), dtype=np.uint32))
+            marked = np.frombuffer(blob, np.uint16, m, at + 4 * m)
+            row.append(((marked & _ROW).astype(np.uint32) + np.uint32(base)) << np.uint32(1) | (marked >= _LOOKS))
             base += n
         sets, sizes, h, row, s2, d2, l2 = (np.concatenate(v) for v in (sets, sizes, h, row, s2, d2, l2))
         # equal sets are one
         own, first, which = np.unique(sets, return_index=True, return_inverse=True)
         size = sizes[first].astype(np.int64)
         order = np.argsort(h)
-        h, row = h[order], row[order]
+        row = row[order]
+        h = h[order]
         del order
         new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         alone = new & np.append(new[1:], True)
@@ -320,15 +329,47 @@ def _candidates(t_: float, bands: Bands):
         s2, d2 = s2[once], d2[once]
         _, w, n = np.unique(s2, return_inverse=True, return_counts=True)
         dup = n[w] > 1
-        kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(int(dup.sum()), np.int32), np.full(len(lack_s), 2, np.int32)])
-        left = np.concatenate([np.minimum(a, b), d2[dup], lack_d])
-        right = np.concatenate([np.maximum(a, b), s2[dup], lack_s])
-        n, m = (np.concatenate([v, np.ones(len(kind) - len(a), np.int64)]).astype(np.int32) for v in (agree, need))
-        return pa.table({"kind": kind, "a": left.astype(np.int64), "b": right.astype(np.int64), "agree": n, "need": m})
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b, agree, need = a[order], b[order], np.minimum(agree[order], 255).astype(np.uint8), need[order].astype(np.uint8)
+        member, lack = np.stack([d2[dup], s2[dup]], 1), np.stack([lack_d, lack_s], 1)
+        out = []
+        at, am, al = (_part(v, parts) for v in (a, member[:, 1], lack[:, 1]))
+        for k in np.unique(np.concatenate([at, am, al])):
+            w, m, z = at == k, member[am == k], lack[al == k]
+            first, n = np.unique(a[w], return_counts=True)
+            out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(b[w]), len(m), len(z)], np.int64), first, b[w], m, z, n.astype(np.uint32), agree[w], need[w]))))
+        return pa.Table.from_batches([packed(out)])
 
     return run
 
 
+def _agreed(t: pa.Table) -> pa.Table:
+    """Pairs of sets that enough entries of all buckets agree on (kind 0), documents of sets that several have (1) and of sets that lack units (2)."""
+    a, b, agree, need, more = [], [], [], [], []
+    for x in t.column("payload"):
+        blob = x.as_buffer()
+        n, m, members, lack = (int(v) for v in np.frombuffer(blob, np.int64, 4))
+        at = 32
+        first, own = np.frombuffer(blob, np.int64, n, at), np.frombuffer(blob, np.int64, m, at + 8 * n)
+        at += 8 * (n + m)
+        more += [(k, np.frombuffer(blob, np.int64, 2 * v, at + skip).reshape(-1, 2)) for k, v, skip in ((1, members, 0), (2, lack, 16 * members))]
+        at += 16 * (members + lack)
+        a.append(np.repeat(first, np.frombuffer(blob, np.uint32, n, at)))
+        b.append(own)
+        agree.append(np.frombuffer(blob, np.uint8, m, at + 4 * n))
+        need.append(np.frombuffer(blob, np.uint8, m, at + 4 * n + m))
+    a, b, agree, need = (np.concatenate(v) for v in (a, b, agree, need))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    if len(edge):
+        keep = np.add.reduceat(agree[order].astype(np.int64), edge) >= np.maximum.reduceat(need[order], edge)
+        a, b = a[edge[keep]], b[edge[keep]]
+    kind = np.concatenate([np.zeros(len(a), np.int32), *(np.full(len(v), k, np.int32) for k, v in more)])
+    return pa.table({"kind": kind, "a": np.concatenate([a, *(v[:, 0] for _, v in more)]), "b": np.concatenate([b, *(v[:, 1] for _, v in more)])})
+
+
 #: Bytes of a gram's hash that verification compares.
 _GRAM = 6
 
@@ -345,11 +386,11 @@ def _wide(b: bytes) -> np.ndarray:
 
 
 #: Pairs that are verified in one task at most, on average.
-HOME_PAIRS = 1 << 20
+HOME_PAIRS = 1 << 17
 LABEL_ROUNDS = 1
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, copies: DataFrame, ngram: int, threshold: float) -> DataFrame:
     """For each set of the candidate pairs (a, b) that is similar to another, in each task where it has such pairs: s, doc (the smallest id of its documents), n (its documents), links (the
     documents of similar sets) and root, the smallest doc of those that similar pairs of this task join. The pairs stay in their task.
 
@@ -366,9 +407,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, copies: DataFrame, threshold: f
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cut"))
     homed = homed.select("home", part("a").alias("pa"), part("b").alias("pb"), "a", "b")
     keys = ["home", "pa", "pb"]
-    needed = homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct()
-    named = needed.join(copies.select(F.col("s").alias("s2"), "first", "n"), F.col("s") == F.col("s2"), "left")
-    sent = named.select(F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), "s", "first", "n").join(sets, "s")
+    needed = checkpointed(homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct().join(copies.select(F.col("s").alias("s2"), "first", "n"), F.col("s") == F.col("s2"), "left").select("s", F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), F.coalesce("first", F.lit(-(2**63))).alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
+    sent = _sets_of(docs, needed, ngram)
 
     def verify(p: pa.Table, q: pa.Table) -> pa.Table:
         sets: dict = {}
@@ -377,7 +417,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, copies: DataFrame, threshold: f
         for s, d, first, n, g in zip(*(q.column(c).to_pylist() for c in ("s", "doc", "first", "n", "grams"))):
             if s not in sets:
                 sets[s], many[s] = _wide(g), n or 1
-                doc[s] = d if first is None else first
+                doc[s] = first if n else d
         links = dict.fromkeys(sets, 0)
         up = {s: s for s in sets}
 
@@ -406,30 +446,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, copies: DataFrame, threshold: f
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """s, doc, grams (packed) of the documents with one of the wanted sets (column s), of equal sets of a batch one. Their hashes are broadcast if they're few, else joined."""
-    many = wanted.count()
-    few = many <= BROADCAST_SETS
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["s"].to_numpy()) if few else None)
+    """The rows of wanted (longs: s, and what goes with it), with doc and grams (packed) of documents with that set, of equal sets of a batch one. wanted is broadcast if it's small, else joined."""
+    names = wanted.columns
+    few = wanted.count() <= BROADCAST_SETS
+    known = None
+    if few:
+        t = wanted.toArrow()
+        known = np.stack([t[c].to_numpy().astype(np.int64) for c in names]) if len(t) else np.zeros((len(names), 0), np.int64)
+        known = known[:, np.argsort(known[0], kind="stable")]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
+        known = shared.value
         for batch in batches:
             ids, seen = batch.column(0).to_numpy(), np.zeros(0, np.int64)
             buf, off = utf8(batch.column(1), lower=True)
             for i, j in chunks(off):
                 x, at = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 s = set_hash(x, at)
-                keep = (np.diff(at) > 0) & ~np.isin(s, seen)
-                keep[np.setdiff1d(np.arange(len(s)), np.unique(s, return_index=True)[1])] = False
-                seen = np.append(seen, s[keep])
-                if shared.value is not None:
-                    known = shared.value
-                    keep &= known[np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))] == s if len(known) else False
-                r = np.flatnonzero(keep)
+                r = np.unique(s, return_index=True)[1]
+                r = r[(at[r + 1] > at[r]) & ~np.isin(s[r], seen)]
+                seen = np.append(seen, s[r])
+                if known is not None:
+                    lo, hi = np.searchsorted(known[0], s[r], "left"), np.searchsorted(known[0], s[r], "right")
+                    many = hi - lo
+                    row = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    r = np.repeat(r, many)
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(s[r]), pa.array(ids[i:j][r]), pa.array([_narrow(x[at[k] : at[k + 1]]) for k in r], pa.binary())], names=["s", "doc", "grams"])
+                    extra = [pa.array(c[row]) for c in known[1:]] if known is not None else []
+                    yield pa.RecordBatch.from_arrays([pa.array(s[r]), *extra, pa.array(ids[i:j][r]), pa.array([_narrow(x[at[k] : at[k + 1]]) for k in r], pa.binary())], names=["s", *(names[1:] if known is not None else []), "doc", "grams"])
 
-    found = docs.mapInArrow(run, "s long, doc long, grams binary")
-    return found if few else found.join(wanted, "s", "left_semi")
+    if few:
+        return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "doc"]) + ", grams binary")
+    return docs.mapInArrow(run, "s long, doc long, grams binary").join(wanted, "s")
 
 
 def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
@@ -480,7 +529,7 @@ def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
 def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """What _verified() finds, and the documents (m) of each set (s) that several have."""
     spark = docs.sparkSession
-    nb = max(1, -(-buckets(spark) // 2))  # entries are small: fewer buckets, and so fewer of them that find the same pair
+    nb = max(1, -(-buckets(spark) // 4))  # entries are small: fewer buckets, and so fewer of them that find the same pair
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t_"))
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
@@ -492,25 +541,27 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf, off = utf8(batch.column(1), lower=True)
-            for lo in range(0, len(ids), 30000):
-                hi = min(len(ids), lo + 30000)
-                part, got = off[lo : hi + 1], []
-                for i, j in chunks(part):
-                    x, at = grams(buf[part[i] : part[j]], part[i : j + 1] - part[i], n)
-                    sig, row, looks, lacking = index(x, at, bands, popular)
-                    got.append((sig, row + i, looks, lacking, set_hash(x, at), np.diff(at)))
-                if got:
+            for lo, hi in chunks(off, SEND):
+                for lo in range(lo, hi, 30000):  # rows are numbered by 15 bits
+                    up = min(hi, lo + 30000)
+                    part, got = off[lo : up + 1], []
+                    for i, j in chunks(part):
+                        x, at = grams(buf[part[i] : part[j]], part[i : j + 1] - part[i], n)
+                        sig, row, looks, lacking = index(x, at, bands, popular)
+                        got.append((sig, (row + i).astype(np.int32), looks, lacking, set_hash(x, at), np.diff(at)))
                     sig, row, looks, lacking, sets, size = (np.concatenate([g[k] for g in got]) for k in range(6))
-                    yield _send(sig, row, looks, lacking, ids[lo:hi], sets, size, nb)
+                    del got
+                    yield _send(sig, row, looks, lacking, ids[lo:up], sets, size, nb)
 
-    raw = checkpointed(d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands), "kind int, a long, b long, agree int, need int").groupBy("kind", "a", "b").agg(F.sum("agree").alias("agree"), F.max("need").alias("need")).where("agree >= need").select("kind", "a", "b"))
+    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, buckets(spark)), PACKED)
+    raw = checkpointed(found.groupBy("bucket").applyInArrow(_agreed, "kind int, a long, b long"))
     pairs = raw.where("kind = 0").select("a", "b")
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()
     if lacking.count():
         pairs = checkpointed(pairs.union(_lookup(d, _sets_of(d, lacking, n), n, threshold)).distinct())
     members = raw.where("kind = 1").select(F.col("b").alias("s"), F.col("a").alias("m"))
     copies = members.groupBy("s").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
-    return _verified(pairs, _sets_of(d, pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), n), copies, threshold), members
+    return _verified(pairs, d, copies, n, threshold), members
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:
@@ -579,9 +630,9 @@ s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) < {n} THEN [array_to_string(w
 e AS (SELECT doc_id, len(g) AS size, unnest(g) AS x FROM s),
 p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n, any_value(a.size) AS sa, any_value(b.size) AS sb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
 q AS MATERIALIZED (SELECT i, j FROM p WHERE n / (sa + sb - n)::DOUBLE >= {THRESHOLD} - 1e-12),
-both AS MATERIALIZED (SELECT i, j FROM q UNION ALL SELECT j, i FROM q),
-links AS (SELECT i, count(*) AS links FROM both GROUP BY i),
-reach AS (SELECT i, i AS j FROM both UNION SELECT r.i, b.j FROM reach r JOIN both b ON r.j = b.i),
+ways AS MATERIALIZED (SELECT i, j FROM q UNION ALL SELECT j, i FROM q),
+links AS (SELECT i, count(*) AS links FROM ways GROUP BY i),
+reach AS (SELECT i, i AS j FROM ways UNION SELECT r.i, b.j FROM reach r JOIN ways b ON r.j = b.i),
 class AS (SELECT i, min(j) AS class_id FROM reach GROUP BY i),
 ids AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links FROM ids LEFT JOIN links ON doc_id = links.i LEFT JOIN class ON doc_id = class.i"""
