@@ -407,6 +407,55 @@ def test_leaks(spark):
     assert decontam.find_leaks(d, b.where("false")).count() == 0 and decontam.find_leaks(d.where("false"), b).count() == 0
 
 
+def as_bytes(texts):
+    b = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(b), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in b])])
+
+
+@pytest.mark.parametrize("vocab", [1, 2, 5])
+def test_suffix_array_and_search(vocab):
+    """Against sorted lists of words; repeated words too."""
+    r = random.Random(vocab)
+    texts = [[r.randrange(1, vocab + 1) for _ in range(r.randrange(1, 40))] for _ in range(6)]
+    flat, at = [x for t in texts for x in t], np.cumsum([0] + [len(t) for t in texts])
+    end = np.repeat(at[1:], np.diff(at))
+    w = decontam.Words(np.array(flat, np.uint64), end)
+    of = lambda i: flat[i : end[i]]
+    array = decontam.suffix_array(w)
+    assert array.tolist() == sorted(range(len(flat)), key=lambda i: (of(i), i))
+    i, j = np.array([r.randrange(len(flat)) for _ in range(200)]), np.array([r.randrange(len(flat)) for _ in range(200)])
+    for x, y, n in zip(i, j, decontam.common(w, i, w, j)):
+        a, b = of(x), of(y)
+        assert n == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for x, k in zip(i, decontam.search(w, i, w, array)):
+        assert k == sum(of(y) < of(x) for y in range(len(flat)))
+
+
+@pytest.mark.parametrize("vocab", [2, 4, 30])
+def test_longest_matches(vocab):
+    """Of all lengths, in texts that repeat themselves."""
+    r = random.Random(vocab)
+    texts = [prose(r, r.randrange(1, 70), vocab) for _ in range(12)]
+    items = [(k, prose(r, r.randrange(1, 40), vocab)) for k in range(5)]
+    items += [(5, " ".join(texts[0].split()[3:60])), (6, texts[1])]
+    tests = decontam.Tests(*as_bytes([t + "\n" for _, t in items]), np.array([k for k, _ in items]), 3)
+    got = decontam.matches(*as_bytes([t + "\n" for t in texts]), tests, 3)
+    assert {(r, i): (n, p, q) for r, i, n, p, q in zip(*(x.tolist() for x in got))} == slow_leaks(list(enumerate(texts)), items, 3)
+
+
+def test_repeated_words_stay_small():
+    """A hundred thousand equal words against an item of a thousand: nothing grows with the product."""
+    import tracemalloc
+
+    tests = decontam.Tests(*as_bytes(["same " * 1000, "same " * 8 + "end"]), np.array([3, 4]), 8)
+    text = as_bytes(["same " * 100_000 + "other"])
+    tracemalloc.start()
+    got = decontam.matches(*text, tests, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [[0, 0], [3, 4], [1000, 8], [0, 0], [0, 0]] and peak < 300e6, peak
+
+
 # --- 7 mixing
 
 
