@@ -646,7 +646,8 @@ def slow_repeats(docs, span):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("anchor", [4, 7, 12])
+def test_repeats(spark, anchor):
     r = random.Random(10)
     shared = [prose(r, n, 1000) for n in (12, 15, 40)]
     docs = []
@@ -656,7 +657,7 @@ def test_repeats(spark):
             t += "  \n" + r.choice(shared) + " " + prose(r, r.randrange(9), 1000)
         docs.append((k, t, "s"))
     docs.append((60, "a b " * 40, "s"))
-    got = [(x.doc_id, x.dedup_words, x.dedup_removed, x.text.split()) for x in dedup.remove_repeats(frame(spark, docs), span=12, anchor=7).orderBy("doc_id").collect()]
+    got = [(x.doc_id, x.dedup_words, x.dedup_removed, x.text.split()) for x in dedup.remove_repeats(frame(spark, docs), span=12, anchor=anchor).orderBy("doc_id").collect()]
     assert got == slow_repeats(docs, 12)
 
 
@@ -670,6 +671,52 @@ def test_repeats_table(spark):
     assert dedup.remove_repeats(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 60, 300])
+def test_smaller_positions(size):
+    r = np.random.default_rng(size)
+    pos = r.permutation(400)
+    group = np.sort(r.integers(0, 400 // size + 1, 400))
+    before, after = dedup.smaller(pos, group)
+    for i in range(400):
+        assert before[i] == next((j for j in range(i - 1, -1, -1) if group[j] == group[i] and pos[j] < pos[i]), -1)
+        assert after[i] == next((j for j in range(i + 1, 400) if group[j] == group[i] and pos[j] < pos[i]), -1)
+
+
+@pytest.mark.parametrize("vocab", [1, 2, 3, 50])
+def test_lpf_lengths(vocab):
+    """Longest previous factors of variable lengths, over texts in any order of places."""
+    r = random.Random(vocab)
+    texts = [[r.randrange(vocab) for _ in range(r.randrange(1, 50))] for _ in range(8)]
+    texts += [texts[0][3:], texts[1] + texts[2]]
+    flat, at = [x for t in texts for x in t], np.cumsum([0] + [len(t) for t in texts])
+    end, order = np.repeat(at[1:], np.diff(at)), np.random.default_rng(vocab).permutation(len(texts))
+    place = np.concatenate([(order[k] << 32) + np.arange(len(t)) for k, t in enumerate(texts)])
+    span, depth = 5, 8
+    got = dedup.lpf(np.array(flat, np.uint32), end, np.arange(len(flat)), place, span)
+
+    def factor(i, j):
+        k = 0
+        while k < depth and i + k < end[i] and j + k < end[j] and flat[i + k] == flat[j + k]:
+            k += 1
+        return k
+
+    want = [max((factor(i, j) for j in range(len(flat)) if place[j] < place[i]), default=0) for i in range(len(flat))]
+    assert [x if x >= span else 0 for x in got] == [x if x >= span else 0 for x in want]
+    assert vocab > 3 or len(set(x for x in want if x >= span)) > 1
+
+
+def test_repeats_hot_passage(spark):
+    """A passage that nearly all documents share, one that repeats within a document, and a hundred thousand equal words."""
+    r = random.Random(3)
+    hot = prose(r, 70, 10**6)
+    docs = [(k, prose(r, r.randrange(5), 10**6) + " " + hot + " " + prose(r, r.randrange(5), 10**6), "s") for k in range(300)]
+    docs += [(300, hot[:-2] + " x " + hot, "s"), (301, "same " * 100_000, "s"), (302, "other " + "same " * 60, "s")]
+    got = {x.doc_id: (x.dedup_words, x.dedup_removed) for x in dedup.remove_repeats(frame(spark, docs)).collect()}
+    want = {i: (n, gone) for i, n, gone, _ in slow_repeats([d for d in docs if d[0] != 301], 50)}
+    want[301], want[302] = (100_000, 99_999), (61, 60)
+    assert got == want
+
+
 # --- 10 neighbours
 
 
