@@ -1,12 +1,12 @@
 """Nearest neighbours by cosine, with shifted space-filling curves.
 
 Each of CURVES projects the vectors to DIMS random directions, shifts and quantises them, and orders them along a Hilbert curve. Spark
-splits each order into ranges, twice, the second time shifted by half a range, so that a vector at the edge of one range is within another.
-In a range, every vector is compared with WINDOW neighbours on both sides; the curves' lists merge and are reranked by exact similarity.
+splits each order into ranges, at other places for every curve, so that what lies at the edge of one range is inside on the others.
+In a range, every query is compared with WINDOW neighbours on both sides; the curves' lists merge and are reranked by exact similarity.
 
 How often the curves find the same neighbours tells how complete a query's list is (as recapture does in a census). Queries whose lists aren't found again
-by SETTLED of the curves, those in sparse surroundings, are compared with all vectors instead, in blocks: no window of a curve is wide enough
-where all distances are about equal. That part grows with the product of such queries and vectors.
+by SETTLED of the curves, those in sparse surroundings, are compared with all vectors instead: they are broadcast in blocks of QUERY_BYTES, and every task gives its own best for them. No window
+of a curve is wide enough where all distances are about equal. That part grows with the product of such queries and vectors.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, mix, table
 
 K = 10
 CURVES, DIMS, BITS, WINDOW = 6, 8, 6, 96
 #: Share of the curves that must find a query's neighbours, on average, for its list to be complete.
 SETTLED = 0.5
-RANGE_ROWS, BLOCK_ROWS = 8192, 4096
+#: Rows of a range; bytes of queries that are compared with all vectors in one pass; of which rows the query of the registry asks for neighbours: every so manieth id.
+RANGE_ROWS, QUERY_BYTES, EVERY = 8192, 8 << 20, 20
 SEED = 11
-LISTS = "id long, curve int, found binary"
+LISTS = "id long, curve int, found binary, cut boolean"
 _HIT = np.dtype([("id", "<i8"), ("sim", "<f4")])
 
 
@@ -68,8 +69,9 @@ def curve_keys(v: np.ndarray, curve: int) -> np.ndarray:
 
 
 def top(ids: np.ndarray, sims: np.ndarray, own: np.ndarray, k: int) -> list[bytes]:
-    """For each row of sims (queries by candidates): the k best of the others, ties to the smaller id."""
-    sims = np.where(ids[None, :] == own[:, None], -2.0, sims).astype(np.float32)
+    """For each row of sims (queries by candidates; ids: of all candidates, or of those of each row): the k best of the others, ties to the smaller id. Similarities below -1.5 are none."""
+    ids = np.broadcast_to(ids, sims.shape)
+    sims = np.where(ids == own[:, None], -2.0, sims).astype(np.float32)
     n = min(k, sims.shape[1])
     # all candidates that reach the k-th similarity, then cut by id
     part = np.argpartition(-sims, n - 1, axis=1)[:, :n]
@@ -79,10 +81,10 @@ def top(ids: np.ndarray, sims: np.ndarray, own: np.ndarray, k: int) -> list[byte
         c = part[r]
         if np.count_nonzero(sims[r] == floor[r]) > 1:
             c = np.flatnonzero(sims[r] >= floor[r])
-        c = c[np.lexsort((ids[c], -sims[r, c]))][:n]
+        c = c[np.lexsort((ids[r, c], -sims[r, c]))][:n]
         c = c[sims[r, c] > -1.5]
         h = np.empty(len(c), _HIT)
-        h["id"], h["sim"] = ids[c], sims[r, c]
+        h["id"], h["sim"] = ids[r, c], sims[r, c]
         out.append(h.tobytes())
     return out
 
@@ -106,17 +108,24 @@ def units(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return d.mapInArrow(run, "id long, v binary")
 
 
-def _windows(t: pa.Table, k: int) -> pa.Table:
+def _windows(t: pa.Table, k: int, every: int) -> pa.Table:
+    """The best of a range's queries; cut: the window ends amid vectors with the query's own key."""
     curve = t.column("curve")[0].as_py()
     ids, key = t.column("id").to_numpy(), t.column("key").to_numpy()
-    order = np.lexsort((ids, key))
-    ids, v = ids[order], _matrix(t, "v")[order]
-    found, n = [], len(ids)
-    for i in range(0, n, 64):
-        j = min(n, i + 64)
-        a, b = max(0, i - WINDOW), min(n, j + WINDOW)
-        found += top(ids[a:b], v[i:j] @ v[a:b].T, ids[i:j], k)
-    return pa.table({"id": ids, "curve": pa.array(np.full(n, curve, np.int32)), "found": pa.array(found, pa.binary())})
+    # equal keys in another order on every curve
+    order = np.lexsort((mix(ids.view(np.uint64) ^ mix(np.full(1, curve + 1, np.uint64))), key))
+    ids, key, v = ids[order], key[order], _matrix(t, "v")[order]
+    own, n, found = np.flatnonzero(ids % every == 0), len(ids), []
+    cut = ((own - WINDOW > 0) & (key[np.maximum(own - WINDOW - 1, 0)] == key[own])) | ((own + WINDOW + 1 < n) & (key[np.minimum(own + WINDOW + 1, n - 1)] == key[own]))
+    step = np.arange(-WINDOW, WINDOW + 1)
+    for i in range(0, len(own), 256):
+        q = own[i : i + 256]
+        at = q[:, None] + step
+        inside = (at >= 0) & (at < n)
+        at = np.clip(at, 0, n - 1)
+        sims = np.where(inside, np.matmul(v[at], v[q][:, :, None])[:, :, 0], -2.0)
+        found += top(ids[at], sims, ids[q], k)
+    return pa.table({"id": ids[own], "curve": pa.array(np.full(len(own), curve, np.int32)), "found": pa.array(found, pa.binary()), "cut": pa.array(cut, pa.bool_())})
 
 
 def _merged(blobs: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -134,12 +143,12 @@ def _merged(blobs: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.ndar
     return own[best], s[best], float(hits[best].mean()) / CURVES
 
 
-def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
-    """id, neighbour, rank (from 1) and similarity (cosine, rounded to 5 digits) of the k nearest others of every vector.
+def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = 1) -> DataFrame:
+    """id, neighbour, rank (from 1) and similarity (cosine, rounded to 5 digits) of the k nearest others of every vector whose id is divisible by every.
 
-    Every vector is a query. Vectors with a null id, or null, empty, zero or not finite, are neither queries nor neighbours; of
+    All vectors are indexed and can be neighbours. Vectors with a null id, or null, empty, zero or not finite, are neither queries nor neighbours; of
     repeated ids one vector counts; equal vectors are each other's neighbours; ties go to the smaller id. Vectors must have one length: those that differ from the most frequent length are left out. With
-    fewer than k others all of them are given; an empty table gives no rows. Other columns are not looked at.
+    fewer than k others all of them are given; an empty table gives no rows. Other columns are not looked at. Ids must be integers.
     """
     spark = vectors.sparkSession
     u = checkpointed(units(vectors, id_col, vec_col))
@@ -157,66 +166,65 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(v, c)), b.column(0), b.column(1)], names=["curve", "key", "id", "v"])
 
     keyed = u.mapInArrow(keys, "curve int, key long, id long, v binary")
-    # bounds of ranges for each curve; the shifted ones lie half a range further
+    # bounds of ranges, for each curve at other quantiles
     parts = max(1, int(total // RANGE_ROWS))
-    steps = [i / (2 * parts) for i in range(1, 2 * parts)]
-    if steps:
+    bounds = {c: np.zeros(0, np.int64) for c in range(CURVES)}
+    if parts > 1:
+        steps = [i / (CURVES * parts) for i in range(1, CURVES * parts)]
         q = keyed.groupBy("curve").agg(F.percentile_approx("key", F.array(*(F.lit(s) for s in steps)), F.lit(max(10000, 40 * parts))).alias("q")).collect()
-        bounds = {r["curve"]: np.array(r["q"], np.int64) for r in q}
-    else:
-        bounds = {c: np.zeros(0, np.int64) for c in range(CURVES)}
+        bounds = {r["curve"]: np.array(r["q"], np.int64)[r["curve"] :: CURVES] for r in q}
     shared = spark.sparkContext.broadcast(bounds)
 
     def place(batches):
         for b in batches:
             curve, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            half = np.zeros(len(key), np.int64)
+            part = np.zeros(len(key), np.int64)
             for c in np.unique(curve):
-                half[curve == c] = np.searchsorted(shared.value[c], key[curve == c], "right")
-            for shift in (0, 1) if len(steps) else (0,):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(key), shift, np.int32)), pa.array((half + shift) // 2)], names=["curve", "key", "id", "v", "shift", "part"])
+                part[curve == c] = np.searchsorted(shared.value[c], key[curve == c], "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=["curve", "key", "id", "v", "part"])
 
-    ranged = keyed.mapInArrow(place, "curve int, key long, id long, v binary, shift int, part long")
-    lists = ranged.groupBy("curve", "shift", "part").applyInArrow(lambda t: _windows(t, k), LISTS)
-    merged = lists.groupBy("id").agg(F.collect_list(F.struct("curve", "found")).alias("lists"))
+    ranged = keyed.mapInArrow(place, "curve int, key long, id long, v binary, part long")
+    lists = ranged.groupBy("curve", "part").applyInArrow(lambda t: _windows(t, k, every), LISTS)
+    merged = lists.groupBy("id").agg(F.collect_list(F.struct("curve", "found")).alias("lists"), F.max("cut").alias("cut"))
     others = min(k, total - 1)
 
     def rerank(batches):
         for b in batches:
             rows, settled = [], []
-            for x in b.column(1).to_pylist():
+            for x, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 i, s, share = _merged([(y["curve"], y["found"]) for y in x], k)
                 h = np.empty(len(i), _HIT)
                 h["id"], h["sim"] = i, s
                 rows.append(h.tobytes())
-                settled.append(share >= SETTLED and len(i) >= others)
+                settled.append(share >= SETTLED and len(i) >= others and not cut)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), pa.array(settled, pa.bool_())], names=["id", "found", "settled"])
 
     first = checkpointed(merged.mapInArrow(rerank, "id long, found binary, settled boolean"))
-    blocks = max(1, -(-total // BLOCK_ROWS))
-
-    def pack(t: pa.Table) -> pa.Table:
-        return pa.table({"ids": [t.column("id").to_numpy().tobytes()], "vs": pa.array([b"".join(t.column("v").to_pylist())], pa.binary())})
-
-    def packed(d: DataFrame) -> DataFrame:
-        return d.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).applyInArrow(pack, "ids binary, vs binary")
-
-    data = packed(u)
-    sparse = packed(u.join(first.where(~F.col("settled")).select("id"), "id", "left_semi")).select(F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
-    width = size["n"] // 4
-
-    def scan(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                ids, vs, q_ids, q_vs = (b.column(c)[r].as_buffer() for c in range(4))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                v, q = np.frombuffer(vs, np.float32).reshape(-1, width), np.frombuffer(q_vs, np.float32).reshape(-1, width)
-                for i in range(0, len(q), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i : i + 512]), pa.array(np.zeros(len(q_ids[i : i + 512]), np.int32)), pa.array(top(ids, q[i : i + 512] @ v.T, q_ids[i : i + 512], k), pa.binary())], names=["id", "curve", "found"])
-
-    pairs = data.crossJoin(sparse).repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rest = pairs.mapInArrow(scan, LISTS).groupBy("id").agg(F.collect_list(F.struct("curve", "found")).alias("lists"))
-    done = first.where("settled").select("id", F.array(F.struct(F.lit(0).alias("curve"), F.col("found"))).alias("lists")).unionAll(rest)
+    # the others are compared with all vectors, a block of them at a time
+    sparse = u.join(first.where(~F.col("settled")).select("id"), "id", "left_semi")
+    passes = -(-first.where(~F.col("settled")).count() * size["n"] // QUERY_BYTES)
+    width, rest = size["n"] // 4, None
+    for b in range(passes):
+        got = (sparse if passes == 1 else sparse.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == b)).toArrow()
+        block = spark.sparkContext.broadcast((got["id"].to_numpy(), _matrix(got, "v")))
+
+        def scan(batches, block=block):
+            """The best of a task's vectors for every query of the block."""
+            q_ids, q = block.value
+            best = [np.zeros(0, _HIT)] * len(q_ids)
+            for b in batches:
+                ids, v = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, width)
+                for i in range(0, len(q_ids) if len(ids) else 0, 512):
+                    for r, x in enumerate(top(ids, q[i : i + 512] @ v.T, q_ids[i : i + 512], k), i):
+                        h = np.concatenate([best[r], np.frombuffer(x, _HIT)])
+                        best[r] = h[np.lexsort((h["id"], -h["sim"]))[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.zeros(len(q_ids), np.int32)), pa.array([x.tobytes() for x in best], pa.binary()), pa.array(np.zeros(len(q_ids), bool))], names=["id", "curve", "found", "cut"])
+
+        one = u.mapInArrow(scan, LISTS)
+        rest = one if rest is None else rest.unionAll(one)
+    done = first.where("settled").select("id", F.array(F.struct(F.lit(0).alias("curve"), F.col("found"))).alias("lists"))
+    if rest is not None:
+        done = done.unionAll(rest.groupBy("id").agg(F.collect_list(F.struct("curve", "found")).alias("lists")))
 
     def spread(batches):
         for b in batches:
@@ -229,4 +237,4 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return neighbours(table(spark, sf_dir, "embeddings"), every=EVERY).withColumnRenamed("id", "vec_id")

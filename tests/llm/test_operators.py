@@ -751,6 +751,26 @@ def test_neighbours_table(spark):
     assert neighbours.neighbours(d.where("false")).count() == 0
 
 
+def test_recall_of_a_tight_group(spark):
+    """Near-equal vectors in one cell, many more than a window holds."""
+    r = np.random.default_rng(5)
+    tight = r.normal(size=(1, 24)) + 1e-4 * r.normal(size=(1200, 24))
+    assert recall(spark, np.concatenate([tight, r.normal(size=(300, 24))])) > 0.9
+
+
+def test_queries_of_every_so_manieth_id(spark, monkeypatch):
+    """The rows of the queries are those of a search for all; also with several ranges and several blocks of queries."""
+    r = np.random.default_rng(6)
+    v = np.concatenate([np.repeat(r.normal(size=(20, 16)), 20, 0) + 0.1 * r.normal(size=(400, 16)), r.normal(size=(200, 16))])
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SETTLED", 2.0)  # all are compared with all: exact
+    every = {tuple(x) for x in neighbours.neighbours(d).collect()}
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 600)
+    monkeypatch.setattr(neighbours, "RANGE_ROWS", 200)
+    some = {tuple(x) for x in neighbours.neighbours(d, every=7).collect()}
+    assert some == {x for x in every if x[0] % 7 == 0} and len(some) == 10 * 86
+
+
 def test_hilbert_is_a_curve():
     """Neighbouring keys are neighbouring cells, and each cell has its key."""
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
