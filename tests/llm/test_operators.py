@@ -754,7 +754,7 @@ def test_neighbours_table(spark):
 def test_recall_of_a_tight_group(spark):
     """Near-equal vectors in one cell, many more than a window holds."""
     r = np.random.default_rng(5)
-    tight = r.normal(size=(1, 24)) + 1e-4 * r.normal(size=(1200, 24))
+    tight = r.normal(size=(1, 24)) + 5e-3 * r.normal(size=(1200, 24))
     assert recall(spark, np.concatenate([tight, r.normal(size=(300, 24))])) > 0.9
 
 
