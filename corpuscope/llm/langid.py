@@ -3,7 +3,7 @@
 Both directions read segments of SEGMENT bytes, many segments side by side; the forward and
 backward states at a byte give the probabilities of its label, and a document's
 probability of a language is the mean over its letters. The network is trained here, in numpy,
-by backpropagation through time on a bounded sample of labelled rows (TRAIN_ROWS).
+by backpropagation through time on a bounded sample of labelled rows (LABEL_ROWS).
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import chunks, fresh, table, utf8
 
 HIDDEN = 6
 SEGMENT = 128
-#: Bound of the training sample: labelled rows, and bytes of each (a training bound only; whole texts are scored).
-TRAIN_ROWS, TRAIN_BYTES = 1200, 1536
+#: Bounds of the training sample: distinct labelled texts of each label, characters of each text, and labels, of which the most frequent are learned (bounds of training only; whole texts are scored).
+LABEL_ROWS, TRAIN_CHARS, LABELS = 300, 1536, 200
 STEPS, LANES, RATE = 160, 192, 0.02
 #: A document is rejected where no language reaches this mean probability, or where it has no letters.
 MIN_CONFIDENCE = 0.35
@@ -49,7 +50,7 @@ def _soft(a: np.ndarray) -> np.ndarray:
 
 def _gates(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step: gates are 0.5 (1 + soft), the new state mixes the old one and the candidate."""
-    k = HIDDEN
+    k = len(h)
     g = u[: 2 * k] @ h
     g += x[: 2 * k]
     _soft(g)
@@ -66,53 +67,73 @@ def _gates(x: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...
     return new, z, r, n, rh
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, length: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean cross entropy of the letters' labels, and its gradients by backpropagation through time. x: bytes (T, B) of segments, length and label of each.
+
+    As in scoring, the backward direction starts at a segment's own end.
+    """
+    T, B = x.shape
+    k, kind = len(p["fu"][0]), p["c"].dtype
+    inside = np.arange(T)[:, None] < length
+    letters = (_LETTER[x] & inside).astype(kind)
+    tape, logits = {}, np.zeros((T, len(p["c"]), B), kind) + p["c"]
+    for d in "fb":
+        h, rows = np.zeros((k, B), kind), []
+        for t in range(T) if d == "f" else range(T - 1, -1, -1):
+            new, z, r, n, rh = _gates(p[d + "x"][:, x[t]], p[d + "u"], h)
+            if d == "b":
+                new *= inside[t]
+            rows.append((t, h, z, r, n, rh, new))
+            h = new
+            logits[t] += p[d + "o"] @ h
+        tape[d] = rows
+    logits -= logits.max(1, keepdims=True)
+    e = np.exp(logits)
+    e /= e.sum(1, keepdims=True)
+    many = max(1.0, float(letters.sum()))
+    loss = -float((np.log(e[:, y, np.arange(B)] + 1e-30) * letters).sum()) / many
+    e[:, y, np.arange(B)] -= 1
+    e *= (letters / many)[:, None, :]
+    g = {q: np.zeros_like(v) for q, v in p.items()}
+    g["c"] = e.sum((0, 2))[:, None]
+    for d in "fb":
+        u, dh, dxs, at = p[d + "u"], np.zeros((k, B), kind), [], []
+        for t, h, z, r, n, rh, new in reversed(tape[d]):
+            g[d + "o"] += e[t] @ new.T
+            dh = dh + p[d + "o"].T @ e[t]
+            if d == "b":
+                dh = dh * inside[t]
+            dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+            drh = u[2 * k :].T @ dn
+            dz, dr = (q * 0.5 * (1 - np.abs(2 * v - 1)) ** 2 for q, v in ((dh * (h - n), z), (drh * h, r)))
+            dg = np.concatenate([dz, dr, dn])
+            g[d + "u"][: 2 * k] += dg[: 2 * k] @ h.T
+            g[d + "u"][2 * k :] += dn @ rh.T
+            dh = dh * z + drh * r + u[: 2 * k].T @ dg[: 2 * k]
+            dxs.append(dg)
+            at.append(x[t])
+        flat, idx = np.concatenate(dxs, 1), np.concatenate(at)
+        for row in range(3 * k):
+            g[d + "x"][row] = np.bincount(idx, flat[row], 256)
+    return loss, g
+
+
 def train(texts: list[bytes], labels: list[int], classes: int, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam on the mean cross entropy of all positions' labels."""
+    """Adam on the mean cross entropy of all letters' labels. Texts are cut into segments; a short text, and the rest of a long one, are short segments."""
     p, rng, T = init(classes, seed), np.random.default_rng(seed + 1), 64
-    segs = [(np.frombuffer(t[i : i + T], np.uint8), y) for t, y in zip(texts, labels) for i in range(0, max(1, len(t) - T + 1), T) if len(t[i : i + T]) == T]
+    segs = [(t[i : i + T], y) for t, y in zip(texts, labels) for i in range(0, len(t), T) if i == 0 or len(t) - i >= T // 4]
+    segs = [(np.frombuffer(t, np.uint8), y) for t, y in segs if _LETTER[np.frombuffer(t, np.uint8)].any()]
     if not segs:
         return p
-    X, Y = np.stack([s[0] for s in segs]).T.copy(), np.array([s[1] for s in segs])
+    X = np.stack([np.pad(t, (0, T - len(t))) for t, _ in segs]).T.copy()
+    size, Y = np.array([len(t) for t, _ in segs]), np.array([y for _, y in segs])
     by = [np.flatnonzero(Y == c) for c in range(classes)]
     by = [b for b in by if len(b)]
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    k, lanes = HIDDEN, max(1, LANES // len(by))
+    lanes = max(1, LANES // len(by))
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(b, lanes) for b in by])
-        x, y, B = X[:, pick], Y[pick], len(pick)
-        letters = _LETTER[x].astype(np.float32)
-        tape, logits = {}, np.zeros((T, classes, B), np.float32) + p["c"]
-        for d in "fb":
-            h, rows = np.zeros((k, B), np.float32), []
-            for t in range(T) if d == "f" else range(T - 1, -1, -1):
-                new, z, r, n, rh = _gates(p[d + "x"][:, x[t]], p[d + "u"], h)
-                rows.append((t, h, z, r, n, rh, new))
-                h = new
-                logits[t] += p[d + "o"] @ h
-            tape[d] = rows
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        e[:, y, np.arange(B)] -= 1
-        e *= (letters / max(1.0, float(letters.sum())))[:, None, :]
-        g = {q: np.zeros_like(v) for q, v in p.items()}
-        g["c"] = e.sum((0, 2))[:, None]
-        for d in "fb":
-            u, dh, dxs, at = p[d + "u"], np.zeros((k, B), np.float32), [], []
-            for t, h, z, r, n, rh, new in reversed(tape[d]):
-                g[d + "o"] += e[t] @ new.T
-                dh = dh + p[d + "o"].T @ e[t]
-                dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
-                drh = u[2 * k :].T @ dn
-                dz, dr = (q * 0.5 * (1 - np.abs(2 * v - 1)) ** 2 for q, v in ((dh * (h - n), z), (drh * h, r)))
-                dg = np.concatenate([dz, dr, dn])
-                g[d + "u"][: 2 * k] += dg[: 2 * k] @ h.T
-                g[d + "u"][2 * k :] += dn @ rh.T
-                dh = dh * z + drh * r + u[: 2 * k].T @ dg[: 2 * k]
-                dxs.append(dg)
-                at.append(x[t])
-            flat, idx = np.concatenate(dxs, 1), np.concatenate(at)
-            for row in range(3 * k):
-                g[d + "x"][row] = np.bincount(idx, flat[row], 256)
+        _, g = gradients(p, X[:, pick], size[pick], Y[pick])
         rate = RATE * (0.5 if step > steps * 0.6 else 1) * (0.4 if step > steps * 0.85 else 1)
         for q in p:
             m1[q] = 0.9 * m1[q] + 0.1 * g[q]
@@ -178,14 +199,22 @@ def score(p: dict[str, np.ndarray], buf: np.ndarray, off: np.ndarray, lanes: int
     return pooled, counts, letters
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES, steps: int = STEPS) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages in order, and the network. Rows with a null or empty text or a null label are no examples. With no examples: ([], untrained)."""
-    t, y = F.col(text_col), F.col(lang_col)
-    labelled = labelled.where(t.isNotNull() & y.isNotNull() & (F.length(t) > 0)).withColumn("k", F.xxhash64(t))
-    # the smallest hashes; first only the hashes, so that no task sends texts that aren't taken
-    cut = labelled.select("k").orderBy("k").limit(rows).agg(F.max("k")).first()[0]
-    sample = labelled.where(F.col("k") <= F.lit(cut)).select(y.alias("y"), F.substring(t, 1, text_bytes).alias("t")).dropDuplicates().collect() if cut is not None else []
-    sample.sort(key=lambda r: (r.t, r.y))
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = LABEL_ROWS, chars: int = TRAIN_CHARS, steps: int = STEPS) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Languages in order, and the network. Of each label a bounded number of distinct texts is learned from, those of the smallest hashes, so that rare labels have theirs and copies count once.
+
+    Rows with a null label, or a null or empty text or one without letters in its first chars, are no examples. With no examples there are no languages, and detect() rejects all. Of texts that have several labels each is an example.
+    """
+    t, y = F.substring(F.col(text_col), 1, chars), F.col(lang_col)
+    own = labelled.select(y.alias("y"), t.alias("t")).where(F.col("y").isNotNull() & F.col("t").rlike(r"[A-Za-z]|[^\x00-\x7F]")).withColumn("k", F.xxhash64("t"))
+    seen = own.groupBy("y").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.desc("n"), "y").limit(LABELS).collect()
+    if not seen:
+        return [], init(1)
+    # hashes below a cut, about three times as many as are taken: where there are fewer texts than that, all
+    cut = {r.y: 2.0**63 if r.n <= 3 * rows else 3 * rows / r.n * 2.0**64 - 2.0**63 for r in seen}
+    bound = F.create_map(*(F.lit(v) for pair in cut.items() for v in pair))
+    near = own.where(F.col("k") <= F.coalesce(F.try_element_at(bound, F.col("y")), F.lit(-(2.0**64)))).dropDuplicates(["y", "k"])
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("k"))).where(F.col("r") <= rows)
+    sample = sorted(first.select("t", "y").collect(), key=lambda r: (r.t, r.y))
     langs = sorted({r.y for r in sample})
     at = {k: i for i, k in enumerate(langs)}
     return langs, train([r.t.encode() for r in sample], [at[r.y] for r in sample], max(1, len(langs)), steps)
@@ -196,7 +225,7 @@ def detect(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], *, t
 
     A null or empty text, or one without letters, has a null language, confidence 0 and 0 positions. Ties go to the language that comes
     first in the alphabet. Equal rows get equal results. Whole texts are read, in segments of SEGMENT bytes. Extra
-    columns pass through; where they clash with the added names, those get underscores. A model with no languages rejects all.
+    columns pass through; where they clash with the added names, those get underscores. A model with no languages rejects all; an empty table gives none.
     """
     langs, net = model
     names = fresh(docs, *(prefix + n for n in ("lang", "confidence", "letters", "positions")))

@@ -320,21 +320,72 @@ def test_chat_table(spark):
 # --- 5 language ID
 
 
+def plain_network(p, text):
+    """Log probabilities of the labels at each byte, written out one byte and one direction at a time."""
+    k, soft = len(p["fu"][0]), lambda a: a / (1 + np.abs(a))
+
+    def states(d, order):
+        h, out = np.zeros(k), {}
+        for t in order:
+            x, u = p[d + "x"][:, text[t]], p[d + "u"]
+            z, r = (0.5 * (1 + soft(u[a : a + k] @ h + x[a : a + k])) for a in (0, k))
+            n = soft(u[2 * k :] @ (r * h) + x[2 * k :])
+            out[t] = h = z * h + (1 - z) * n
+        return out
+
+    f, b = states("f", range(len(text))), states("b", range(len(text) - 1, -1, -1))
+    e = np.array([p["fo"] @ f[t] + p["bo"] @ b[t] + p["c"][:, 0] for t in range(len(text))])
+    return e - np.log(np.exp(e).sum(1, keepdims=True))
+
+
 def test_gradients():
-    """Backpropagation through time against differences."""
+    """Backpropagation through time against central differences, and the loss against a plain network; segments of several lengths."""
     r = np.random.default_rng(1)
-    texts, labels = [bytes(r.integers(97, 101, 64)) for _ in range(6)], [0, 1, 0, 1, 0, 1]
-    net = langid.train(texts, labels, 2, steps=40)
-    before = langid.init(2)
-
-    def loss(p):
-        out = 0.0
-        for t, y in zip(texts, labels):
-            e = langid._lanes(p, np.frombuffer(t, np.uint8).astype(np.intp)[:, None], np.array([64]))[:, :, 0]
-            out += float(np.mean(np.log(np.exp(e).sum(1)) - e[:, y]))
-        return out / len(texts)
-
-    assert loss(net) < loss(before) - 0.02
+    p = {q: v.astype(np.float64) for q, v in langid.init(3).items()}
+    x, length, y = r.integers(97, 101, (12, 5)), np.array([12, 12, 7, 1, 4]), np.array([0, 1, 2, 0, 1])
+    x[3, 0], x[0, 1] = 32, 49  # no letters
+    loss, g = langid.gradients(p, x, length, y)
+    each = [(plain_network(p, x[:n, i])[t, y[i]]) for i, n in enumerate(length) for t in range(n) if x[t, i] > 64]
+    assert abs(loss + np.mean(each)) < 1e-9
+    for q, v in p.items():
+        flat = np.flatnonzero(g[q])
+        assert len(flat) and set(np.unravel_index(flat, v.shape)[1].tolist()) <= {32, 49, *range(97, 101)} if q[1:] == "x" else len(flat)
+        for i in r.choice(flat, min(12, len(flat)), replace=False):
+            at, h = np.unravel_index(i, v.shape), 1e-5
+            old, around = v[at], []
+            for step in (h, -h):
+                v[at] = old + step
+                around.append(langid.gradients(p, x, length, y)[0])
+            v[at] = old
+            assert abs((around[0] - around[1]) / (2 * h) - g[q][at]) < 1e-5 * max(1, abs(g[q][at])) + 1e-6, (q, at)
+
+
+def test_scores_against_plain_network():
+    r = np.random.default_rng(2)
+    p = langid.init(3)
+    texts = [bytes(r.integers(32, 123, n, dtype=np.uint8)) for n in (1, 60, 128, 300)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    pooled, counts, letters = langid.score(p, np.frombuffer(b"".join(texts), np.uint8), off)
+    for k, t in enumerate(texts):
+        e = np.exp(np.concatenate([plain_network(p, np.frombuffer(t[i : i + langid.SEGMENT], np.uint8)) for i in range(0, len(t), langid.SEGMENT)]))
+        use = langid._LETTER[np.frombuffer(t, np.uint8)]
+        assert letters[k] == use.sum() and np.allclose(pooled[k], e[use].mean(0) if use.any() else 0, atol=1e-4)
+        assert counts[k].tolist() == np.bincount(e[use].argmax(1), minlength=3).tolist()
+
+
+def test_languages_of_short_texts(spark):
+    """Texts shorter than a segment are learned from, and a language of few texts amid many copies; with no letters there's nothing to learn."""
+    r = random.Random(8)
+    rows = [(k, r.choice(["kalo mira", "mira tuno kalo", "sefa tuno"]) + r.choice([" kalo", " mira", ""]), "aa") for k in range(300)]
+    rows += [(300 + k, "kalo mira sefa", "aa") for k in range(3000)]
+    rows += [(4000 + k, r.choice(["xost brin", "gwelt drach xost", "brin gwelt"]) + r.choice([" drach", " xost", ""]), "bb") for k in range(12)]
+    rows += [(5000, "12 34", "cc"), (5001, None, "cc"), (5002, "xost", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, net = langid.fit(d, rows=20)
+    assert langs == ["aa", "bb"]
+    got = langid.detect(d.where("lang in ('aa', 'bb')"), (langs, net)).select("lang", "lid_lang").distinct().collect()
+    assert {(x.lang, x.lid_lang) for x in got} == {("aa", "aa"), ("bb", "bb")}
+    assert langid.fit(d.where("lang = 'cc'"))[0] == []
 
 
 def languages(r, n):
