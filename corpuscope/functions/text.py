@@ -7,7 +7,7 @@ from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 from pathlib import Path
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,11 +86,6 @@ def lemma(word: Column) -> Column:
     return F.coalesce(table[w], ruled)
 
 
-def words_and_marks(text: Column) -> Column:
-    """Words and single punctuation marks, in lower case."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), F.array().cast("array<string>"))
-
-
 def counted(items: Column) -> Column:
     """array<struct<stem, occurrences>> of a document's items, by name.
 
@@ -139,9 +134,13 @@ def stems(text: Column, merge_ai: bool = False) -> Column:
     return F.concat(count(text), F.when(n > 0, F.array(F.struct(F.lit("ai").alias("stem"), n.alias("occurrences")))).otherwise(F.array().cast("array<struct<stem:string,occurrences:bigint>>")))
 
 
+#: An opening tag of a link up to its target, quoted in either way or not at all; tags and attributes in any case. It means the same in Spark and in SQL engines with RE2.
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def hrefs(html: Column) -> Column:
-    """Targets of links that aren't empty, in order."""
-    return F.filter(F.regexp_extract_all(html, F.lit(r'<a[^>]*?href="([^"]*)"'), F.lit(1)), lambda x: x != "")
+    """Targets of links that aren't empty, in order, without their quotes."""
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda x: F.regexp_replace(x, """^["']|["']$""", "")), lambda x: x != "")
 
 
 def link_host(base: Column, href: Column) -> Column:
@@ -251,10 +250,3 @@ def languages(text: Column) -> Column:
 
     scores = [F.struct(share(ws).alias("score"), F.lit(k).alias("lang")) for k, ws in sorted(STOPWORDS.items())]
     return F.transform(F.slice(F.sort_array(F.array(*scores), asc=False), 1, 2), lambda s: F.struct(s["lang"].alias("lang"), F.round(s["score"], 6).alias("score")))
-
-
-def url_parts_ok(url: str) -> bool:
-    try:
-        return bool(urlsplit(url).hostname)
-    except ValueError:
-        return False

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from .graph import checkpointed
 from pyspark.sql import types as T
 
 TOPICS = ("NEWS", "BLOG", "WIKI", "SHOP")
@@ -73,7 +75,8 @@ def nth_largest(df: DataFrame, columns: list[str], n: int) -> DataFrame:
 
 
 def reach_nth(df: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Rows that reach the n-th largest value in one of the columns at least, ties too; all rows where there are fewer than n."""
+    """Rows that reach the n-th largest value in one of the columns at least, ties too; all rows where there are fewer than n. df is computed once, and kept in the shared folder."""
+    df = checkpointed(df)
     at = suffixed(nth_largest(df, columns, n), "_nth")
     keep = reduce(lambda a, b: a | b, (F.col(f"{c}_nth").isNull() | (F.col(c) >= F.col(f"{c}_nth")) for c in columns))
     return df.crossJoin(F.broadcast(at)).where(keep).select(*df.columns)  # at is one row
@@ -89,9 +92,10 @@ def ratio_to_total(df: DataFrame, value: str, keys: list[str], name: str) -> Dat
     return df.withColumn(name, F.try_divide(F.col(value).cast("double"), F.sum(value).over(Window.partitionBy(*keys))))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n random rows, the same for a seed over the same partitions."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """n random rows, the same for a seed however the rows are partitioned: those of the smallest hashes of seed and keys (all columns, if none are named)."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys or df.columns]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *own)), *(keys or df.columns)).limit(n)
 
 
 def content_addressed(df: DataFrame, payload: str) -> DataFrame:

@@ -59,6 +59,15 @@ def news_flow(outflow: DataFrame, stats: DataFrame, predicate: Column) -> DataFr
     return sums.unpivot([], list(TOPICS), "topic", "outflow")
 
 
+def news_flows(outflow: DataFrame, stats: DataFrame, predicates: dict[str, Column]) -> DataFrame:
+    """source, topic, outflow: news_flow() for several predicates by name, over one join and in one pass."""
+    j = join_both_ends(outflow, stats.select("host", "ai", "human", "ai_topic", "topic"))
+    part = tie_shares({t: F.col(f"topic_to.{t}") for t in TOPICS})
+    sums = j.agg(*(F.coalesce(F.sum(F.when(test, part[t] * F.col("occurrences"))), F.lit(0.0)).alias(f"{name}|{t}") for name, test in predicates.items() for t in TOPICS))
+    cells = F.explode(F.array(*(F.struct(F.lit(name).alias("source"), F.lit(t).alias("topic"), F.col(f"`{name}|{t}`").alias("outflow")) for name in predicates for t in TOPICS)))
+    return sums.select(cells.alias("c")).select("c.*")
+
+
 def news_predicates(low: float = 0.3, high: float = 0.7) -> dict[str, Column]:
     news = F.col("topic.NEWS") > high
     return {"ai_news": (F.col("ai") > high) & news, "human_news": (F.col("ai") < low) & news, "ai_topic_news": (F.col("ai_topic") > high) & news, "non_ai_topic_news": (F.col("ai_topic") < low) & news}

@@ -149,3 +149,15 @@ def test_boxplot_dumbbell_proportions(spark):
     assert [(r.stem, r.diff) for r in charts.dumbbell(w, 5).collect()] == [("y", -5.0), ("x", 3.0)]
     p = charts.proportions(spark.createDataFrame([("A", 3.0)], "c string, v double"), "c", "v", ["A", "B"])
     assert {r.c: r.share for r in p.collect()} == {"A": 1.0, "B": 0.0}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    d = spark.range(500).withColumn("v", F.col("id") * 2)
+    got = [{r.id for r in relational.sample_rows(x, 20, seed).collect()} for x, seed in ((d, 1), (d.repartition(7), 1), (d, 2))]
+    assert got[0] == got[1] != got[2] and len(got[0]) == 20
+
+
+def test_news_flows_in_one_pass(net):
+    p = questions.news_predicates()
+    got = {(r.source, r.topic): r.outflow for r in questions.news_flows(*net, p).collect()}
+    assert got == {(k, r.topic): r.outflow for k in p for r in questions.news_flow(*net, p[k]).collect()}

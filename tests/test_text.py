@@ -81,3 +81,9 @@ def test_news_domains(tmp_path):
 @pytest.mark.parametrize("word,base", [("children", "child"), ("boxes", "box"), ("stories", "story"), ("glass", "glass"), ("models", "model"), ("gemini", "geminus"), (",", ",")])
 def test_lemma(spark, word, base):
     assert col(spark, [word], text.lemma) == [base]
+
+
+def test_hrefs_of_any_quoting(spark):
+    html = """<a href='x'>1</a><A class=c HREF=y>2</A><a data-href="no" href = "z">3</a><a href="">4</a><abbr href="no">5</abbr><a
+ title="t" href="it's">6</a>"""
+    assert col(spark, [html], text.hrefs) == [["x", "y", "z", "it's"]]
