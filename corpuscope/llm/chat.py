@@ -1,19 +1,21 @@
 """Transcript parsing: roles are recovered by a hidden Markov model over lines, then turns are rendered in one canonical form.
 
 A line's state is a role and whether it begins a turn. What is seen of a line is its speaker marker's kind, whether a blank line comes before it,
-whether it asks, and its length. Counts over all labelled transcripts give the model; Viterbi gives the states.
+whether it asks, and its length. Counts over labelled transcripts give the model; Viterbi gives the states. The registered query fits two models,
+each on half of the transcripts, and parses every transcript by the model that hasn't seen it.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 ROLES = ("system", "user", "assistant")
 STATES = len(ROLES) * 2  # role * 2, + 1 inside a turn
@@ -142,7 +144,7 @@ STYLES = [
 def transcripts(conversations: DataFrame) -> DataFrame:
     """conv_id, transcript, and states (of its lines): turns in order, written in the style that the id's hash picks.
 
-    Rows with a null conv_id are left out. Rows are in order of turn (null ones first), role and text; repeated ones are all there. A null text is an
+    Rows with a null conv_id are left out; ids must be integers. Rows are in order of turn (null ones first), role and text; repeated ones are all there. A null text is an
     empty turn; a null or other role is taken for the user's.
     """
     role = F.when(F.lower("role").isin(*ROLES), F.lower("role")).otherwise("user")
@@ -201,7 +203,7 @@ def format_chats(raw: DataFrame, model: Model, *, id_col: str = "conv_id", text_
     """id_col, turns (number), roles (of the turns, by commas) and chat (the canonical rendering).
 
     A null or empty transcript has 0 turns, empty roles and an empty chat. Ids may be null or repeated; each row is parsed by its text alone. Whole
-    transcripts are parsed, whatever their length. Other columns are not looked at.
+    transcripts are parsed, whatever their length. Of paths of states with equal weights that with the states of the smaller numbers is taken. An empty table gives no rows. Other columns are not looked at.
     """
     kind = dict(raw.dtypes)[id_col]
 
@@ -215,6 +217,16 @@ def format_chats(raw: DataFrame, model: Model, *, id_col: str = "conv_id", text_
     return raw.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, turns int, roles string, chat string")
 
 
+#: Parts of the transcripts; each is parsed by a model of the others.
+FOLDS = 2
+
+
+def parse_held_out(raw: DataFrame) -> DataFrame:
+    """format_chats() of labelled transcripts (conv_id, transcript, states), each by a model that is fitted on the folds that it isn't in; folds go by a hash of the id."""
+    raw = checkpointed(raw.withColumn("fold", F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(FOLDS))))
+    parts = [format_chats(raw.where(F.col("fold") == k), fit(raw.where(F.col("fold") != k))) for k in range(FOLDS)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = transcripts(table(spark, sf_dir, "conversations"))
-    return format_chats(raw, fit(raw))
+    return parse_held_out(transcripts(table(spark, sf_dir, "conversations")))

@@ -263,7 +263,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """id_col, n_bytes (of UTF-8), lm_bits (rounded to 3 digits) and lm_bpb, bits per byte (rounded to 6 digits).
 
     All of docs are both corpus and scored. A null or empty text has 0 bytes, 0 bits and a null bpb. Ids may be null or repeated: every
-    row is scored by its text alone, so equal texts have equal scores. An empty docs gives no rows. Other columns are not looked at.
+    row is scored by its text alone, so equal texts have equal scores. Whole texts are scored, whatever their length. Of bytes that are equally frequent the smaller value gets the place in the code that the heap gives it first, so
+    the code is the same in any run. Counts of a byte after a context stay below 2^32: more count as so many. An empty docs gives no rows. Other columns are not looked at.
     """
     d = docs.select(F.col(id_col), F.col(text_col).alias("t_"), F.xxhash64(F.col(text_col)).alias("h_"))
     model = build(gather(d.select("t_", "h_")).collect())

@@ -77,6 +77,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, float], weights: DataFrame |
     names get underscores if docs has them. weights: id_col and a positive "weight", 1 where it's absent,
     null, or not positive. total_tokens: the mixture's size; None: that of docs.
 
+    Whole texts are counted, whatever their length; an empty text has 0 tokens.
     Nulls: a null source is a source of its own, with the weight "*"; a null text has 0 tokens and
     is taken with every epoch, and with the fraction where its key falls. Rows with a null id are dropped, for they have no key.
     Repeated ids share a key; ties are in order of the text's hash. Rows of equal id, source and text are taken together: all or none, and all count.

@@ -7,6 +7,7 @@ the rewritten text and mapped back, so that the source text is redacted in place
 
 from __future__ import annotations
 
+import bisect
 import ipaddress
 import re
 import unicodedata
@@ -186,16 +187,17 @@ def _valid(kind: str, s: str) -> bool:
 
 
 def find(text: str, disguised: bool = True, odd: bool = True) -> list[tuple[int, int, str, str]]:
-    """Start and end in the source, kind, and normalised identifier; in order, apart. Of overlapping ones the first detector's stays."""
+    """Start and end in the source, kind, and normalised identifier; in order, apart. Of overlapping ones the first detector's stays; of one detector's the first."""
     x = normalise(text, disguised, odd)
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in order and apart, so only the neighbours of a place can overlap
     for kind, pattern in DETECTORS:
         for m in pattern.finditer(x.text):
             if _valid(kind, m.group()):
                 a, b = x.source(*m.span())
-                if not any(a < q and p < b for p, q, _, _ in taken):
-                    taken.append((a, b, kind, m.group()))
-    return sorted(taken)
+                k = bisect.bisect_left(taken, (a,))
+                if (k == len(taken) or taken[k][0] >= b) and (k == 0 or taken[k - 1][1] <= a):
+                    taken.insert(k, (a, b, kind, m.group()))
+    return taken
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str, str]]) -> str:
@@ -213,7 +215,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     """docs with identifiers in text_col replaced by [KIND], and pii_spans: array of start and end (characters of the source text), kind, and the identifier without disguise.
 
     A null text stays null, with a null pii_spans; an empty or clean one has an empty array. All rows stay, null or repeated ids too; equal texts get equal
-    results. Whole texts are read. Extra columns pass through; a column called pii_spans makes the new one pii_spans_. length_col: a column that is
+    results. Whole texts are read, whatever their length; an empty table gives none. Extra columns pass through; a column called pii_spans makes the new one pii_spans_. length_col: a column that is
     set to the new length where the text was changed.
     """
     name = fresh(docs, "pii_spans")[0]

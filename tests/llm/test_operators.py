@@ -155,6 +155,26 @@ def test_pii_spoken_prose(text):
     assert pii.find(text) == []
 
 
+def test_pii_overlaps_and_many():
+    """Of overlapping identifiers the first detector's stays, by a plain rule; and many identifiers take no time by their square."""
+    def plain(text):
+        x, taken = pii.normalise(text), []
+        for kind, pattern in pii.DETECTORS:
+            for m in pattern.finditer(x.text):
+                if pii._valid(kind, m.group()):
+                    a, b = x.source(*m.span())
+                    if not any(a < q and p < b for p, q, _, _ in taken):
+                        taken.append((a, b, kind, m.group()))
+        return sorted(taken)
+
+    r = random.Random(12)
+    parts = ["mail a.b@c.example.com", "+1 (743) 555-3824", "4111 1111 1111 1111", "108.51.216.133", "DE89370400440532013000", "four five six 555-123-4567", "john (at) site [dot] com", "x", ", "]
+    for _ in range(60):
+        t = " ".join(r.choice(parts) for _ in range(r.randrange(1, 12)))
+        assert pii.find(t) == plain(t)
+    assert len(pii.find("write a@b.example.com now " * 20_000)) == 20_000
+
+
 def test_pii_offsets_map_back():
     """Whatever is rewritten, every character of the result lies in the source span it names, and spans don't go back."""
     r = random.Random(5)
@@ -291,6 +311,20 @@ def test_chat_round_trip(spark):
     assert np.mean(roles) > 0.9
 
 
+def test_chat_held_out_styles(spark):
+    """Transcripts in a style that the model has never seen: its markers are of known kinds. And every transcript of a table by a model of others."""
+    d = conversations(spark)
+    raw = chat.transcripts(d)
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(chat.STYLES)))
+    want = {r.conv_id: ",".join(x.role for x in r.t) for r in d.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t")).collect()}
+    for k in (0, 3, 4):
+        got = chat.format_chats(raw.where(style == k), chat.fit(raw.where(style != k))).collect()
+        assert got and np.mean([r.roles == want[r.conv_id] for r in got]) > 0.9, k
+    rows = chat.parse_held_out(raw).collect()
+    assert {r.conv_id for r in rows} == set(want) and len(rows) == len(want)
+    assert np.mean([r.roles == want[r.conv_id] for r in rows]) > 0.9
+
+
 def test_viterbi_against_all_paths():
     r = np.random.default_rng(0)
     m = chat.Model(r.integers(0, 5, chat.STATES), r.integers(0, 5, (chat.STATES, chat.STATES)), r.integers(0, 5, (chat.STATES, chat.SYMBOLS)))

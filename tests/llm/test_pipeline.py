@@ -88,3 +88,24 @@ def test_stages_keep_columns(spark, corpus):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
         assert stage(spark, docs.where("false"), path).count() == 0
+
+
+def test_stages_take_odd_rows(spark, corpus):
+    """Null texts, sources and ids, repeated rows, very long and empty texts, ties, and extra columns with clashing names."""
+    path, docs, _ = corpus
+    long = "kalo mira tuno sefa " * 20_000
+    odd = [(None, "no id here at all", "en", None, 3), (900, None, None, None, None), (901, "", "en", "src0", 0), (902, long, "en", None, 5), (903, "same words again here now", "fr", "src1", 4), (903, "same words again here now", "fr", "src1", 4), (904, "write to x@mail.example.com", None, None, None)]
+    rows = [*docs[:40], *odd]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS gone_id", "2 AS leaked_id", "3 AS pii_spans", "4 AS mix_key", "5 AS lid_lang")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, d, path)
+        assert out.columns[: len(d.columns)] == d.columns, name
+        got = out.collect()
+        assert all((x["gone_id"], x["leaked_id"], x["pii_spans"], x["mix_key"], x["lid_lang"]) == (1, 2, 3, 4, 5) for x in got), name
+        ids = [x["doc_id"] for x in got]
+        if name == "language":
+            assert 900 not in ids and 901 not in ids and 902 in ids
+        elif name == "mixture":
+            assert None not in ids
+        else:
+            assert None in ids and ids.count(903) == 2 and {900, 901, 902, 904} <= set(ids), name
