@@ -27,6 +27,16 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_names(spark: SparkSession, nb: int) -> np.ndarray:
+    """Names (integers) of nb buckets, at most as many as there are partitions of a shuffle, that the shuffle's hash puts into partitions of their own; by chance some would share one."""
+    parts = buckets(spark)
+    many = int(parts * (np.log(parts) + 12)) + 16
+    ids = spark.range(many).select(F.col("id").cast("int").alias("name"))
+    found = ids.groupBy(F.pmod(F.hash("name"), F.lit(parts)).alias("part")).agg(F.min("name").alias("name")).orderBy("part").collect()  # a row for each partition
+    own = [r["name"] for r in found]
+    return np.array((own + [many + k for k in range(parts - len(own))])[:nb])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the folder shared by all executors."""
     sc = df.sparkSession.sparkContext
@@ -170,7 +180,9 @@ def split_by(bucket: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=nb))])
 
 
-def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def packed(rows: list[tuple[int, bytes]], names: np.ndarray) -> pa.RecordBatch:
+    """A row for each blob, under its bucket's name."""
+    rows = [(int(names[b]), x) for b, x in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PACKED, buckets, byte_class, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
+from .common import PACKED, bucket_names, buckets, byte_class, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
 
 SPAN = 50
 ANCHOR = 16
@@ -63,14 +63,14 @@ def _anchors(g: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(most == g)
 
 
-def _send(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, hashes: np.ndarray, nb: int) -> pa.RecordBatch | None:
+def _send(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, hashes: np.ndarray, names: np.ndarray) -> pa.RecordBatch | None:
     """One blob per bucket: counts of rows and entries, the rows' ids and text hashes, entries."""
     if not got:
         return None
     h, row, pos = (np.concatenate([g[k] for g in got]) for k in range(3))
     if not len(h):
         return None
-    order, bound = split_by((mix(h) % np.uint64(nb)).astype(np.int64), nb)
+    order, bound = split_by((mix(h) % np.uint64(len(names))).astype(np.int64), len(names))
     h, row, pos = h[order], row[order], pos[order]
     out = []
     for b in np.flatnonzero(np.diff(bound)):
@@ -79,7 +79,7 @@ def _send(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray,
         e = np.empty(len(idx), _ENTRY)
         e["h"], e["row"], e["pos"] = h[s], idx, pos[s]
         out.append((int(b), np.array([len(own), len(e)], np.int64).tobytes() + ids[own].tobytes() + hashes[own].tobytes() + e.tobytes()))
-    return packed(out)
+    return packed(out, names)
 
 
 def _ranks(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def _expand(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
 
 
-def _send_runs(got: list[tuple[np.ndarray, ...]], ids: np.ndarray, hashes: np.ndarray, span: int, nb: int) -> pa.RecordBatch | None:
+def _send_runs(got: list[tuple[np.ndarray, ...]], ids: np.ndarray, hashes: np.ndarray, span: int, names: np.ndarray) -> pa.RecordBatch | None:
     """One blob per bucket: counts; the rows' ids and text hashes; runs of suffixes, and their words; and runs that are later copies for sure. got: anchor, row, first position, suffixes, and words of runs."""
     if not got:
         return None
@@ -149,7 +149,7 @@ def _send_runs(got: list[tuple[np.ndarray, ...]], ids: np.ndarray, hashes: np.nd
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     same = np.zeros(len(h), bool)
     same[order] = (ids[row[order]] == ids[row[first]]) & (hashes[row[order]] == hashes[row[first]]) & (pos[order] == pos[first])
-    order, bound = split_by((mix(h) % np.uint64(nb)).astype(np.int64), nb)
+    order, bound = split_by((mix(h) % np.uint64(len(names))).astype(np.int64), len(names))
     out = []
     for b in np.flatnonzero(np.diff(bound)):
         s = order[bound[b] : bound[b + 1]]
@@ -159,7 +159,7 @@ def _send_runs(got: list[tuple[np.ndarray, ...]], ids: np.ndarray, hashes: np.nd
         e["h"], e["row"], e["pos"], e["n"] = h[s], idx, pos[s], n[s]
         sent, gone = ~later[s], later[s]
         out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), sent.sum(), gone.sum()], np.int64), ids[own], hashes[own], e[sent], e[gone], word[_expand(at[s[sent]], size[s[sent]])]))))
-    return packed(out)
+    return packed(out, names)
 
 
 def order_of(word: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -282,9 +282,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Texts of fewer than span words, empty ones too, stay as they are; an empty table gives none. Extra columns pass through; added names get
     underscores where docs has them. Ids must be integers.
     """
-    nb, w = buckets(docs.sparkSession), span - anchor + 1
+    w = span - anchor + 1
     if not 0 < anchor <= span:
         raise ValueError("an anchor has a word at least, and span words at most")
+    names = bucket_names(docs.sparkSession, buckets(docs.sparkSession))
     name_hash, name_key, places = fresh(docs, "d_hash", "d_key", "places")
     added = fresh(docs, "dedup_words", "dedup_removed", "dedup_spans")
     columns = docs.columns
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     p = _anchors(g, low, w)
                     row = np.searchsorted(at, p, "right") - 1
                     got.append((g[p], row + i, p - at[row]))
-                out = _send(got, ids, hashes, nb)
+                out = _send(got, ids, hashes, names)
                 if out is not None:
                     yield out
 
@@ -344,7 +345,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     n = np.diff(np.append(first, len(p)))
                     p, row = p[first], row[first]
                     got.append((low[p], row + i, p - at[row], n, mix(h[_expand(p, n + span - 1)]).astype(np.uint32)))
-                out = _send_runs(got, ids, hashes, span, nb)
+                out = _send_runs(got, ids, hashes, span, names)
                 if out is not None:
                     yield out
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, PACKED, buckets, byte_class, checkpointed, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
+from .common import CHUNK, PACKED, bucket_names, buckets, byte_class, checkpointed, chunks, fresh, gram_hashes, mix, packed, split_by, table, utf8, word_hashes, words
 
 NGRAM = 4
 THRESHOLD = 0.5
@@ -220,10 +220,10 @@ _ROW = np.uint16(0x7FFF)
 _LOOKS = np.uint16(0x8000)
 
 
-def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarray, ids: np.ndarray, sets: np.ndarray, size: np.ndarray, nb: int) -> pa.RecordBatch:
+def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarray, ids: np.ndarray, sets: np.ndarray, size: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
     """Blobs by bucket, which are ranges of signatures: counts; hashes and sizes of sets with entries; entries, signatures as planes of bytes of
     their differences; and the sets (hash, document, whether it lacks units) whose own hash falls here."""
-    order = np.argsort(sig)
+    nb, order = len(names), np.argsort(sig)
     sig, row, looks = sig[order], row[order], looks[order]
     step = -(-(2**64) // nb)  # a Python integer: that of a single bucket has 65 bits
     low = np.array([b * step for b in range(nb)], np.uint64)  # where buckets begin
@@ -244,7 +244,7 @@ def _send(sig: np.ndarray, row: np.ndarray, looks: np.ndarray, lacking: np.ndarr
         gaps = np.diff(h, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)
         marked = number[r] | np.where(looks[s], _LOOKS, np.uint16(0))
         out.append((int(b), b"".join(v.tobytes() for v in (np.array([len(own), len(h), len(d)], np.int64), sets[own], size[own].astype(np.uint32), sets[d], ids[d], lacking[d].astype(np.int64), np.ascontiguousarray(gaps.T), marked.astype(np.uint16)))))
-    return packed(out)
+    return packed(out, names)
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _candidates(t_: float, bands: Bands, parts: int):
+def _candidates(t_: float, bands: Bands, names: np.ndarray):
     """Of a bucket of entries, blobs by part of a pair's smaller hash: each a with its bs, entries that agree, and those that must; members of sets; sets that lack units."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -334,12 +334,12 @@ def _candidates(t_: float, bands: Bands, parts: int):
         a, b, agree, need = a[order], b[order], np.minimum(agree[order], 255).astype(np.uint8), need[order].astype(np.uint8)
         member, lack = np.stack([d2[dup], s2[dup]], 1), np.stack([lack_d, lack_s], 1)
         out = []
-        at, am, al = (_part(v, parts) for v in (a, member[:, 1], lack[:, 1]))
+        at, am, al = (_part(v, len(names)) for v in (a, member[:, 1], lack[:, 1]))
         for k in np.unique(np.concatenate([at, am, al])):
             w, m, z = at == k, member[am == k], lack[al == k]
             first, n = np.unique(a[w], return_counts=True)
             out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(b[w]), len(m), len(z)], np.int64), first, b[w], m, z, n.astype(np.uint32), agree[w], need[w]))))
-        return pa.Table.from_batches([packed(out)])
+        return pa.Table.from_batches([packed(out, names)])
 
     return run
 
@@ -530,6 +530,7 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
     """What _verified() finds, and the documents (m) of each set (s) that several have."""
     spark = docs.sparkSession
     nb = max(1, -(-buckets(spark) // 2))  # entries are small: fewer buckets, and so fewer of them that find the same pair
+    names = bucket_names(spark, buckets(spark))
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t_"))
     bands, n = Bands(threshold), ngram
     sizes, popular, single = _statistics(d.select("t_"), n, bands)
@@ -551,9 +552,9 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
                         got.append((sig, (row + i).astype(np.int32), looks, lacking, set_hash(x, at), np.diff(at)))
                     sig, row, looks, lacking, sets, size = (np.concatenate([g[k] for g in got]) for k in range(6))
                     del got
-                    yield _send(sig, row, looks, lacking, ids[lo:up], sets, size, nb)
+                    yield _send(sig, row, looks, lacking, ids[lo:up], sets, size, names[:nb])
 
-    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, buckets(spark)), PACKED)
+    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, names), PACKED)
     raw = checkpointed(found.groupBy("bucket").applyInArrow(_agreed, "kind int, a long, b long"))
     pairs = raw.where("kind = 0").select("a", "b")
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()

@@ -630,7 +630,7 @@ def test_pairs_at_any_number_of_buckets(nb):
     sig = r.integers(0, 2**64, 500, dtype=np.uint64, endpoint=False)
     sig[:3] = 0, 2**64 - 1, 2**63
     row, sets, size = r.integers(0, 40, 500), r.integers(-(2**63), 2**63 - 1, 40), np.full(40, 9)
-    out = jaccard._send(sig, row, np.zeros(500, bool), np.zeros(40, bool), np.arange(40), sets, size, nb)
+    out = jaccard._send(sig, row, np.zeros(500, bool), np.zeros(40, bool), np.arange(40), sets, size, np.arange(nb))
     assert set(out.column(0).to_pylist()) <= set(range(nb))
     entries, docs = 0, []
     for blob in out.column(1).to_pylist():
@@ -867,6 +867,19 @@ def test_hilbert_is_a_curve():
 # --- shared parts
 
 
+@pytest.mark.parametrize("parts", [1, 2, 13, 200])
+def test_buckets_have_partitions_of_their_own(spark, parts):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        names = common.bucket_names(spark, parts)
+        assert len(set(names.tolist())) == parts
+        d = spark.createDataFrame([(int(x),) for x in names], "bucket int").repartition(parts, "bucket").select(F.spark_partition_id().alias("p"))
+        assert sorted(r.p for r in d.collect()) == list(range(parts))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 
