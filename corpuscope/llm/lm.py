@@ -2,10 +2,15 @@
 
 A byte is coded bit by bit along a Huffman tree made from the corpus' bytes. At every bit, one
 predictor for each of ORDERS has a probability from a hashed table of contexts: how often, after bytes
-with that context, the corpus went left or right at that node of the tree. The counts are gathered from
-every document: each task sends its own, so what is gathered grows with the input. Documents are
+with that context, the corpus went left or right at that node of the tree. These tables are small and of a fixed size. Documents are
 split in two halves by a hash of their text, and each half is scored with the counts of the other one, so that
-no document (nor exact copy) predicts itself.
+no document (nor exact copy) predicts itself here.
+
+One more predictor has contexts of the last WORDS words, kept in a table that is spread over the cluster and grows with the input: every
+document sends each of its contexts once, with the first AHEAD bytes of the word that follows, to the context's
+bucket. Back comes what followed most often in all other rows, copies too, and how sure that is. So a document that occurs
+elsewhere costs fewer bits, but none learns from itself. As long as a word's bytes agree with the predicted ones, the next
+one's bits are predicted.
 
 The predictors' stretched probabilities are mixed by weights that are gated by the depth in the
 tree and belong to the document: they start equal and are moved online, by the gradient of the coding cost, after
@@ -20,10 +25,11 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, utf8
+from .common import bucket_names, buckets, byte_class, checkpointed, chunks, gram_hashes, table, utf8, word_hashes, words
 
 #: Bytes of context, and bits of the number of hashed rows, of each predictor.
 ORDERS = ((1, 8), (2, 13), (4, 15))
@@ -34,6 +40,11 @@ RATE, START = 0.02, 0.4
 SCALE = 15.0  # of stretched probabilities kept as int8
 APM_CELLS, APM_RATE, APM_SHARE = 24, 0.02, 0.3
 PARTS = 32
+#: Words of the long context, and how many bytes of the word after it are predicted.
+WORDS, AHEAD = 3, 4
+#: Bytes of text whose contexts travel together.
+TRAVEL = 4 << 20
+SENT = "batch string, bucket int, payload binary"
 GATHERED = "fold int, ord int, part int, payload binary"
 _ROWS = [1 << bits for _, bits in ORDERS]
 
@@ -117,9 +128,89 @@ def stretched(counts: np.ndarray, kids: list[tuple[int, int]]) -> np.ndarray:
     return out.reshape(-1)
 
 
-def bits_of(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, model: dict) -> np.ndarray:
-    """Bits that each row costs."""
-    rows, P, depths = len(off) - 1, len(ORDERS), model["node"].shape[0]
+def long_contexts(buf: np.ndarray, off: np.ndarray, nb: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The long contexts of some rows.
+
+    Starts of all words that have a context in their row; which of the entries each one is; and the entries, each row's distinct contexts in order of bucket and key: bucket, key of 32 bits, and the AHEAD bytes
+    that follow first (as one number, the first byte lowest; 0 beyond the word).
+    """
+    starts, ends, of_row = words(buf, off, byte_class("space"))
+    row = np.repeat(np.arange(len(off) - 1), np.diff(of_row))
+    if len(starts) <= WORDS:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.astype(np.uint32), z.astype(np.uint32)
+    h = gram_hashes(word_hashes(buf, starts, ends), WORDS)[:-1]
+    inside = np.flatnonzero(row[WORDS:] == row[:-WORDS])
+    h, at, size, row = h[inside], starts[WORDS:][inside], (ends - starts)[WORDS:][inside], row[WORDS:][inside]
+    bucket = ((h >> np.uint64(32)) % np.uint64(nb)).astype(np.int64)
+    key = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.lexsort((np.arange(len(h)), row, key, bucket))
+    b, k, r = bucket[order], key[order], row[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    entry = np.zeros(len(order), np.int64)
+    entry[order] = np.cumsum(first) - 1
+    lead = order[first]
+    padded = np.concatenate([buf, np.zeros(AHEAD, np.uint8)])
+    after = np.zeros(len(lead), np.uint32)
+    for i in range(AHEAD):
+        after |= np.where(size[lead] > i, padded[at[lead] + i], 0).astype(np.uint32) << np.uint32(8 * i)
+    return at, entry, bucket[lead], key[lead], after
+
+
+def followers(key: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry, what followed its key most often in the others (of equals the smaller number), and SCALE times the log-odds of that; 0 and 0 if there are no others."""
+    n = len(key)
+    both = (key.astype(np.uint64) << np.uint64(32)) | after
+    order = np.argsort(both, kind="stable")
+    s = both[order]
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int8)
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    many = np.diff(np.append(edge, n))
+    k = s[edge] >> np.uint64(32)
+    # each key's followers, the most frequent first
+    rank = np.lexsort((s[edge], -many, k))
+    kr = k[rank]
+    head = np.flatnonzero(np.concatenate([[True], kr[1:] != kr[:-1]]))
+    sizes = np.diff(np.append(head, len(kr)))
+    group = np.empty(len(edge), np.int64)
+    group[rank] = np.repeat(np.arange(len(head)), sizes)
+    top = rank[head]
+    second = np.where(sizes > 1, rank[np.minimum(head + 1, len(rank) - 1)], -1)
+    total = np.bincount(group, weights=many).astype(np.int64)
+    # a follower's own entries see one less of it
+    mine = np.arange(len(edge))
+    t, u = top[group], second[group]
+    c_top = many[t] - (t == mine)
+    c_second = np.where(u >= 0, many[u], 0)
+    fall = (t == mine) & (u >= 0) & ((c_top < c_second) | ((c_top == c_second) & (s[edge][u] < s[edge][t])))
+    best, c = np.where(fall, u, t), np.where(fall, c_second, c_top)
+    others = total[group] - 1
+    sure = np.clip(np.rint(np.log((c + 0.3) / (others - c + 0.3)) * SCALE), -120, 120)
+    word = (s[edge][best] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    word, sure = np.where(c > 0, word, 0).astype(np.uint32), np.where(c > 0, sure, 0).astype(np.int8)
+    out, strength = np.empty(n, np.uint32), np.empty(n, np.int8)
+    out[order], strength[order] = np.repeat(word, many), np.repeat(sure, many)
+    return out, strength
+
+
+def guesses(buf: np.ndarray, at: np.ndarray, word: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The predicted byte and its strength (0: none) for every byte of buf. at: starts of words; word, sure: what is predicted there."""
+    byte, strength = np.zeros(len(buf), np.uint8), np.zeros(len(buf), np.int8)
+    for i in range(AHEAD):
+        b = ((word >> np.uint32(8 * i)) & np.uint32(255)).astype(np.uint8)
+        keep = (b > 0) & (sure != 0) & (at + i < len(buf))
+        at, word, sure, b = at[keep], word[keep], sure[keep], b[keep]
+        byte[at + i], strength[at + i] = b, sure
+        same = buf[at + i] == b
+        at, word, sure = at[same], word[same], sure[same]
+    return byte, strength
+
+
+def bits_of(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, model: dict, byte: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Bits that each row costs. byte, strength: what the long contexts predict, see guesses."""
+    rows, P, depths = len(off) - 1, len(ORDERS) + 1, model["node"].shape[0]
     cost = np.zeros(rows)
     size = np.diff(off)
     padded = np.concatenate([np.zeros(8, np.uint8), buf])
@@ -146,20 +237,21 @@ def bits_of(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, model: dict) ->
                 length = np.minimum(block, size[doc] - done)
                 lane = np.repeat(np.arange(j - i), length)
                 at = np.arange(len(lane)) - np.repeat(np.cumsum(length) - length, length) + (off[doc] + done)[lane]
-                cost[doc] += _block(padded, at, off[doc][lane], lane, j - i, tables, model, weights[:, :, i:j], apm[i:j])
+                cost[doc] += _block(padded, at, off[doc][lane], lane, j - i, tables, model, weights[:, :, i:j], apm[i:j], byte[at], strength[at])
             done += block
             step += 1
     return cost
 
 
-def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm) -> np.ndarray:
+def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm, byte, strength) -> np.ndarray:
     """Costs a block of some documents, then moves their weights and adaptive maps (both in place)."""
     sym = padded[at + 8]
     rows = [r * 256 for r in rows_of(padded, at, row_start)]
     out = np.zeros(lanes)
     length = model["length"][sym]
     keep = None
-    P = len(rows)
+    P = len(rows) + 1
+    strength = strength.astype(np.float32)
     seen, true = np.zeros(lanes * (APM_CELLS + 1)), np.zeros(lanes * (APM_CELLS + 1))
     flat_apm = apm.reshape(-1)
     for d in range(int(length.max()) if len(length) else 0):
@@ -169,9 +261,12 @@ def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm) -> n
                 break
             if len(keep) < len(sym):
                 sym, lane, length, rows = sym[keep], lane[keep], length[keep], [r[keep] for r in rows]
+                byte, strength = byte[keep], strength[keep]
         node = model["node"][d][sym]
         bit = model["bits"][d][sym].astype(np.float32)
         st = [t[r + node].astype(np.float32) for t, r in zip(tables, rows)]
+        # the guess counts while its path is the one taken
+        st.append(strength * (model["node"][d][byte] == node) * (model["length"][byte] > d) * (2 * model["bits"][d][byte].astype(np.float32) - 1))
         w = weights[d]
         dot = st[0] * w[0][lane]
         for k in range(1, P):
@@ -263,26 +358,77 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """id_col, n_bytes (of UTF-8), lm_bits (rounded to 3 digits) and lm_bpb, bits per byte (rounded to 6 digits).
 
     All of docs are both corpus and scored. A null or empty text has 0 bytes, 0 bits and a null bpb. Ids may be null or repeated: every
-    row is scored by its text alone, so equal texts have equal scores. Whole texts are scored, whatever their length. Of bytes that are equally frequent the smaller value gets the place in the code that the heap gives it first, so
-    the code is the same in any run. Counts of a byte after a context stay below 2^32: more count as so many. An empty docs gives no rows. Other columns are not looked at.
+    row is a document, and of what follows a long context each sees the other rows; equal texts have equal scores. Whole texts are scored, whatever their length. Of bytes that are equally frequent the smaller value gets the place in the code that the heap gives it first, so
+    the code is the same in any run. Counts of a byte after a context stay below 2^32: more count as so many. Long contexts are told apart by 32 bits within a bucket. An empty docs gives no rows. Other columns are not looked at.
     """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
     d = docs.select(F.col(id_col), F.col(text_col).alias("t_"), F.xxhash64(F.col(text_col)).alias("h_"))
     model = build(gather(d.select("t_", "h_")).collect())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
+    nb = buckets(spark)
+    names = bucket_names(spark, nb)
 
-    def run(batches):
+    def send(batches):
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, off = utf8(batch.column(1))
-            fold = fold_of(batch.column(2).to_numpy())
-            bits = np.zeros(len(off) - 1)
-            for i, j in chunks(off, 16 << 20):
-                bits[i:j] = bits_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], fold[i:j], shared.value)
-            size = np.diff(off)
-            bpb = np.round(bits / np.maximum(size, 1), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(np.round(bits, 3)), pa.array(bpb, mask=size == 0)], names=[id_col, "n_bytes", "lm_bits", "lm_bpb"])
-
-    kind = dict(docs.dtypes)[id_col]
-    return d.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, lm_bits double, lm_bpb double")
+            for i, j in chunks(off, TRAVEL):
+                name = f"{task}-{seq}"
+                seq += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(i, j - i))
+                rows = [(name, -1, sink.getvalue().to_pybytes())]
+                _, _, bucket, key, after = long_contexts(buf[off[i] : off[j]], off[i : j + 1] - off[i], nb)
+                cuts = np.searchsorted(bucket, np.arange(nb + 1))
+                for b in range(nb):
+                    a, z = cuts[b], cuts[b + 1]
+                    if z > a:
+                        rows.append((name, int(names[b]), _pressed(np.diff(key[a:z], prepend=np.uint32(0)), after[a:z])))
+                yield _sent(rows)
+
+    def predict(t: pa.Table) -> pa.Table:
+        got = [_unpressed(x.as_py()) for x in t.column("payload")]
+        size = np.cumsum([0] + [len(g[0]) for g in got])
+        word, sure = followers(np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got]), np.concatenate([g[1] for g in got]))
+        rows = [(n.as_py(), b.as_py(), _pressed(word[size[i] : size[i + 1]], sure[size[i] : size[i + 1]].astype(np.int32).view(np.uint32))) for i, (n, b) in enumerate(zip(t.column("batch"), t.column("bucket")))]
+        return pa.Table.from_batches([_sent(rows)])
+
+    def finish(t: pa.Table) -> pa.Table:
+        parts = {b.as_py(): x.as_py() for b, x in zip(t.column("bucket"), t.column("payload"))}
+        batch = pa.ipc.open_stream(parts.pop(-1)).read_all().combine_chunks()
+        buf, off = utf8(batch.column(1))
+        at, entry, _, _, _ = long_contexts(buf, off, nb)
+        got = [_unpressed(parts[int(b)]) for b in names if int(b) in parts]
+        word = np.concatenate([np.zeros(0, np.uint32)] + [g[0] for g in got])
+        sure = np.concatenate([np.zeros(0, np.uint32)] + [g[1] for g in got]).view(np.int32).astype(np.int8)
+        bits = bits_of(buf, off, fold_of(batch.column(2).to_numpy()), shared.value, *guesses(buf, at, word[entry], sure[entry]))
+        size = np.diff(off)
+        bpb = np.round(bits / np.maximum(size, 1), 6)
+        return pa.table([batch.column(0), pa.array(size.astype(np.int64)), pa.array(np.round(bits, 3)), pa.array(bpb, mask=size == 0)], names=[id_col, "n_bytes", "lm_bits", "lm_bpb"])
+
+    # written, so that names of batches stay true if a task is run again
+    sent = checkpointed(d.mapInArrow(send, SENT))
+    back = sent.where("bucket >= 0").repartition(nb, "bucket").groupBy("bucket").applyInArrow(predict, SENT)
+    return sent.where("bucket < 0").unionByName(back).repartition(4 * nb, "batch").groupBy("batch").applyInArrow(finish, f"`{id_col}` {kind}, n_bytes long, lm_bits double, lm_bpb double")
+
+
+def _pressed(*columns: np.ndarray) -> bytes:
+    """Columns of 32 bits and equal length, compressed, after their number of bytes."""
+    raw = np.concatenate([c.view(np.uint8).reshape(-1, 4).T.reshape(-1) for c in map(np.ascontiguousarray, columns)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpressed(x: bytes) -> list[np.ndarray]:
+    """The two columns of _pressed."""
+    size = int.from_bytes(x[:8], "little")
+    raw = np.frombuffer(pa.decompress(x[8:], size, "zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(half.reshape(4, -1).T).view(np.uint32).reshape(-1) for half in np.split(raw, 2)]
+
+
+def _sent(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["batch", "bucket", "payload"])
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

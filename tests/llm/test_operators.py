@@ -198,6 +198,38 @@ def test_pii_table(spark):
 # --- 3 language model
 
 
+def slow_guesses(texts):
+    """For every text, byte position: predicted byte and strength; what followed the last words most often in the other texts."""
+    import collections
+    import re
+
+    found = [[(m.start(), m.group()) for m in re.finditer(rb"[^\t\n\r ]+", b)] for b in texts]
+    first = []
+    for w in found:
+        mine = {}
+        for i in range(lm.WORDS, len(w)):
+            mine.setdefault(tuple(x for _, x in w[i - lm.WORDS : i]), w[i][1][: lm.AHEAD])
+        first.append(mine)
+    out = []
+    for me, (b, w) in enumerate(zip(texts, found)):
+        got = {}
+        for i in range(lm.WORDS, len(w)):
+            context = tuple(x for _, x in w[i - lm.WORDS : i])
+            seen = collections.Counter(f[context] for k, f in enumerate(first) if k != me and context in f)
+            if not seen:
+                continue
+            best = min(seen, key=lambda x: (-seen[x], int.from_bytes(x, "little")))
+            sure = round(math.log((seen[best] + 0.3) / (sum(seen.values()) - seen[best] + 0.3)) * lm.SCALE)
+            for k, x in enumerate(best):
+                if w[i][0] + k >= len(b) or sure == 0:
+                    break
+                got[w[i][0] + k] = (x, sure)
+                if b[w[i][0] + k] != x:
+                    break
+        out.append(got)
+    return out
+
+
 def slow_bits(texts, folds):
     """Coding one bit after the other, in plain Python."""
     counts = [[np.zeros(n * 256, np.int64) for n in lm._ROWS] for _ in range(2)]
@@ -226,8 +258,8 @@ def slow_bits(texts, folds):
     assert abs(sum(2.0 ** -int(n) for n in length) - 1) < 1e-12  # a complete code
     model = {"tables": [[lm.stretched(c.reshape(-1, 256), kids) for c in side] for side in counts]}
     costs = []
-    for b, f in zip(texts, folds):
-        P, depths = len(lm.ORDERS), node.shape[0]
+    for b, f, guess in zip(texts, folds, slow_guesses(texts)):
+        P, depths = len(lm.ORDERS) + 1, node.shape[0]
         w = np.full((depths, P), lm.START)
         apm = 1 / (1 + np.exp(-(np.arange(lm.APM_CELLS + 1) - lm.APM_CELLS / 2) / 1.5))
         done = step = 0
@@ -239,7 +271,10 @@ def slow_bits(texts, folds):
             for i in range(done, min(len(b), done + block)):
                 rr = rows(b, i)
                 for d in range(length[b[i]]):
-                    x = np.array([float(model["tables"][1 - f][k][rr[k] * 256 + node[d][b[i]]]) for k in range(P)])
+                    x = [float(model["tables"][1 - f][k][rr[k] * 256 + node[d][b[i]]]) for k in range(P - 1)]
+                    g, sure = guess.get(i, (0, 0))
+                    on_path = length[g] > d and all(bits[e][g] == bits[e][b[i]] for e in range(d))
+                    x = np.array([*x, sure * (1 if bits[d][g] else -1) if on_path else 0.0])
                     dot = float(np.clip((x * w[d]).sum() / lm.SCALE, -11, 11))
                     p, bit = 1 / (1 + math.exp(-dot)), int(bits[d][b[i]])
                     cell = int(np.clip(np.rint(np.float32(dot) * np.float32(1.5)) + lm.APM_CELLS // 2, 0, lm.APM_CELLS))
@@ -263,6 +298,8 @@ def slow_bits(texts, folds):
 def test_lm_against_plain_coder(spark):
     r = random.Random(2)
     texts = [prose(r, n, 60) for n in (0, 1, 5, 40, 150, 300)] + ["é ü " * 30]
+    texts += [texts[5], texts[5][:700] + " other end", " ".join(prose(r, 300, 3).split()), prose(r, 300, 3)]
+    assert any(slow_guesses([t.encode() for t in texts]))
     d = frame(spark, [(k, t, "s") for k, t in enumerate(texts)])
     h = [x.h for x in d.select(F.xxhash64("text").alias("h"), "doc_id").orderBy("doc_id").collect()]
     got = {x.doc_id: x.lm_bits for x in lm.score(d).collect()}
@@ -282,6 +319,21 @@ def test_lm_table(spark):
     assert lm.score(d.where("false")).count() == 0
 
 
+def test_lm_tells_repeated_documents():
+    """A document that occurs elsewhere costs less, and one's own repeats predict nothing."""
+    r = random.Random(8)
+    texts = [prose(r, 200, 400).encode() for _ in range(6)]
+    own = b"alpha beta gamma delta " * 50
+    buf = np.frombuffer(b"".join([*texts, texts[0], own]), np.uint8)
+    off = np.cumsum([0, *map(len, texts), len(texts[0]), len(own)])
+    at, entry, bucket, key, after = lm.long_contexts(buf, off, 1)
+    word, sure = lm.followers(key, after)
+    byte, strength = lm.guesses(buf, at, word[entry], sure[entry])
+    share = [float((strength[a:b] > 0).mean()) for a, b in zip(off[:-1], off[1:])]
+    assert share[0] > 0.4 and share[6] > 0.4 and max(share[1:6]) < 0.05 and share[7] == 0
+    assert (byte[: off[1]] == buf[: off[1]])[strength[: off[1]] > 0].all()
+
+
 # --- 4 chats
 
 
