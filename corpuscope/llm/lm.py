@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_names, buckets, byte_class, checkpointed, chunks, gram_hashes, table, utf8, word_hashes, words
+from .common import bucket_names, buckets, byte_class, chunks, gram_hashes, table, utf8, word_hashes, words
 
 #: Bytes of context, and bits of the number of hashed rows, of each predictor.
 ORDERS = ((1, 8), (2, 13), (4, 15))
@@ -43,7 +43,9 @@ PARTS = 32
 #: Words of the long context, and how many bytes of the word after it are predicted.
 WORDS, AHEAD = 3, 4
 #: Bytes of text whose contexts travel together.
-TRAVEL = 4 << 20
+TRAVEL = 16 << 20
+#: Entries of a bucket that are sorted at once.
+SLICE = 1 << 20
 SENT = "batch string, bucket int, payload binary"
 GATHERED = "fold int, ord int, part int, payload binary"
 _ROWS = [1 << bits for _, bits in ORDERS]
@@ -144,7 +146,7 @@ def long_contexts(buf: np.ndarray, off: np.ndarray, nb: int) -> tuple[np.ndarray
     h, at, size, row = h[inside], starts[WORDS:][inside], (ends - starts)[WORDS:][inside], row[WORDS:][inside]
     bucket = ((h >> np.uint64(32)) % np.uint64(nb)).astype(np.int64)
     key = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    order = np.lexsort((np.arange(len(h)), row, key, bucket))
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | key, kind="stable")  # words are in order of their rows already
     b, k, r = bucket[order], key[order], row[order]
     first = np.ones(len(order), bool)
     first[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1]) | (r[1:] != r[:-1])
@@ -214,44 +216,44 @@ def bits_of(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, model: dict, byt
     cost = np.zeros(rows)
     size = np.diff(off)
     padded = np.concatenate([np.zeros(8, np.uint8), buf])
-    # documents of a fold in order of length, so that those with a next block come first
-    for side in range(FOLDS):
-        mine = np.flatnonzero((fold == side) & (size > 0))
-        mine = mine[np.argsort(-size[mine], kind="stable")]
-        if not len(mine):
-            continue
-        tables = model["tables"][1 - side]
-        weights = np.full((depths, P, len(mine)), START, np.float32)
-        apm = np.tile(((np.arange(APM_CELLS + 1) - APM_CELLS / 2) / 1.5).astype(np.float32), (len(mine), 1))
-        apm = (1 / (1 + np.exp(-apm))).astype(np.float32)
-        done, step, n = 0, 0, len(mine)
-        while True:
-            block = BLOCKS[min(step, len(BLOCKS) - 1)]
-            n = int(np.searchsorted(-size[mine[:n]], -done, side="left"))  # longer than done
-            if not n:
-                break
-            width = max(1, (1 << 16) // block)
-            for i in range(0, n, width):
-                j = min(n, i + width)
-                doc = mine[i:j]
-                length = np.minimum(block, size[doc] - done)
-                lane = np.repeat(np.arange(j - i), length)
-                at = np.arange(len(lane)) - np.repeat(np.cumsum(length) - length, length) + (off[doc] + done)[lane]
-                cost[doc] += _block(padded, at, off[doc][lane], lane, j - i, tables, model, weights[:, :, i:j], apm[i:j], byte[at], strength[at])
-            done += block
-            step += 1
+    other = 1 - fold
+    # documents in order of length, so that those with a next block come first
+    mine = np.flatnonzero(size > 0)
+    mine = mine[np.argsort(-size[mine], kind="stable")]
+    weights = np.full((depths, P, len(mine)), START, np.float32)
+    apm = np.tile(((np.arange(APM_CELLS + 1) - APM_CELLS / 2) / 1.5).astype(np.float32), (len(mine), 1))
+    apm = (1 / (1 + np.exp(-apm))).astype(np.float32)
+    done, step, n = 0, 0, len(mine)
+    while True:
+        block = BLOCKS[min(step, len(BLOCKS) - 1)]
+        n = int(np.searchsorted(-size[mine[:n]], -done, side="left"))  # longer than done
+        if not n:
+            break
+        width = max(1, (1 << 16) // block)
+        for i in range(0, n, width):
+            j = min(n, i + width)
+            doc = mine[i:j]
+            length = np.minimum(block, size[doc] - done)
+            lane = np.repeat(np.arange(j - i), length)
+            at = np.arange(len(lane)) - np.repeat(np.cumsum(length) - length, length) + (off[doc] + done)[lane]
+            cost[doc] += _block(padded, at, off[doc][lane], other[doc][lane], lane, j - i, model, weights[:, :, i:j], apm[i:j], byte[at], strength[at])
+        done += block
+        step += 1
     return cost
 
 
-def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm, byte, strength) -> np.ndarray:
+def _block(padded, at, row_start, side, lane, lanes, model, weights, apm, byte, strength) -> np.ndarray:
     """Costs a block of some documents, then moves their weights and adaptive maps (both in place)."""
     sym = padded[at + 8]
-    rows = [r * 256 for r in rows_of(padded, at, row_start)]
+    rows = [(r + side * n) * 256 for r, n in zip(rows_of(padded, at, row_start), _ROWS)]
+    tables = model["tables"]
     out = np.zeros(lanes)
     length = model["length"][sym]
     keep = None
-    P = len(rows) + 1
-    strength = strength.astype(np.float32)
+    P = len(rows)
+    # places with a guess whose path is still the one taken
+    on = np.flatnonzero(strength)
+    byte, strength = byte[on], strength[on].astype(np.float32)
     seen, true = np.zeros(lanes * (APM_CELLS + 1)), np.zeros(lanes * (APM_CELLS + 1))
     flat_apm = apm.reshape(-1)
     for d in range(int(length.max()) if len(length) else 0):
@@ -260,17 +262,26 @@ def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm, byte
             if not len(keep):
                 break
             if len(keep) < len(sym):
+                length_before = length
                 sym, lane, length, rows = sym[keep], lane[keep], length[keep], [r[keep] for r in rows]
-                byte, strength = byte[keep], strength[keep]
+                place = np.full(len(length_before), -1)
+                place[keep] = np.arange(len(keep))
+                on = place[on]
+                still = on >= 0
+                on, byte, strength = on[still], byte[still], strength[still]
         node = model["node"][d][sym]
         bit = model["bits"][d][sym].astype(np.float32)
         st = [t[r + node].astype(np.float32) for t, r in zip(tables, rows)]
-        # the guess counts while its path is the one taken
-        st.append(strength * (model["node"][d][byte] == node) * (model["length"][byte] > d) * (2 * model["bits"][d][byte].astype(np.float32) - 1))
         w = weights[d]
         dot = st[0] * w[0][lane]
         for k in range(1, P):
             dot += st[k] * w[k][lane]
+        if len(on):
+            still = (model["node"][d][byte] == node[on]) & (model["length"][byte] > d)
+            if not still.all():
+                on, byte, strength = on[still], byte[still], strength[still]
+            guess, who_on = strength * (2 * model["bits"][d][byte].astype(np.float32) - 1), lane[on]
+            dot[on] += guess * w[P][who_on]
         dot *= np.float32(1 / SCALE)
         np.clip(dot, -11, 11, out=dot)
         p = np.exp(-dot)
@@ -297,6 +308,8 @@ def _block(padded, at, row_start, lane, lanes, tables, model, weights, apm, byte
         scale = RATE / SCALE * np.sqrt(n) / n * 8
         for k in range(P):
             w[k][who] += np.add.reduceat(err * st[k], edge) * scale
+        if len(on):
+            w[P][who] += np.bincount(who_on, err[on] * guess, minlength=lanes)[who].astype(np.float32) * scale
     moved = 1 - (1 - APM_RATE) ** seen
     flat = np.where(seen > 0, true / np.maximum(seen, 1), 0)
     apm += (moved * (flat - flat_apm) * (seen > 0)).reshape(apm.shape).astype(np.float32)
@@ -351,7 +364,7 @@ def build(rows: list) -> dict:
         _add(r["payload"], counts[r["fold"]][r["ord"]][r["part"] * size : (r["part"] + 1) * size])
     freq = sum(counts[f][0].reshape(-1, 256).sum(0) for f in range(FOLDS)) + 1
     kids, length, node, bits = huffman(freq)
-    return {"tables": [[stretched(c.reshape(-1, 256), kids) for c in side] for side in counts], "length": length, "node": node, "bits": bits}
+    return {"tables": [np.concatenate([stretched(side[k].reshape(-1, 256), kids) for side in counts]) for k in range(len(ORDERS))], "length": length, "node": node, "bits": bits}
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,7 +372,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     All of docs are both corpus and scored. A null or empty text has 0 bytes, 0 bits and a null bpb. Ids may be null or repeated: every
     row is a document, and of what follows a long context each sees the other rows; equal texts have equal scores. Whole texts are scored, whatever their length. Of bytes that are equally frequent the smaller value gets the place in the code that the heap gives it first, so
-    the code is the same in any run. Counts of a byte after a context stay below 2^32: more count as so many. Long contexts are told apart by 32 bits within a bucket. An empty docs gives no rows. Other columns are not looked at.
+    the code is the same in any run. Counts of a byte after a context stay below 2^32: more count as so many. Long contexts are told apart by 32 bits within a bucket. An empty docs gives no rows. docs is read three times and must give the same
+    rows in the same order, as files do; if it doesn't, the job fails. Other columns are not looked at.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
@@ -369,49 +383,67 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     nb = buckets(spark)
     names = bucket_names(spark, nb)
 
-    def send(batches):
+    def pieces(batches):
+        """Pieces of about TRAVEL bytes of text; their names follow from where and what they are, so they are the same whenever the rows are read."""
         task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, off = utf8(batch.column(1))
+            h = batch.column(2).to_numpy().view(np.uint64)
             for i, j in chunks(off, TRAVEL):
-                name = f"{task}-{seq}"
+                yield f"{task}-{seq}-{int(gram_hashes(h[i:j], j - i)[0]):x}", batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 seq += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch.slice(i, j - i))
-                rows = [(name, -1, sink.getvalue().to_pybytes())]
-                _, _, bucket, key, after = long_contexts(buf[off[i] : off[j]], off[i : j + 1] - off[i], nb)
-                cuts = np.searchsorted(bucket, np.arange(nb + 1))
-                for b in range(nb):
-                    a, z = cuts[b], cuts[b + 1]
-                    if z > a:
-                        rows.append((name, int(names[b]), _pressed(np.diff(key[a:z], prepend=np.uint32(0)), after[a:z])))
-                yield _sent(rows)
+
+    def texts(batches):
+        for name, piece, _, _ in pieces(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(piece)
+            yield _sent([(name, -1, sink.getvalue().to_pybytes())])
+
+    def contexts(batches):
+        for name, _, buf, off in pieces(batches):
+            _, _, bucket, key, after = long_contexts(buf, off, nb)
+            cuts = np.searchsorted(bucket, np.arange(nb + 1))
+            yield _sent([(name, int(names[b]), _pressed(np.diff(key[a:z], prepend=np.uint32(0)), after[a:z])) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a])
 
     def predict(t: pa.Table) -> pa.Table:
         got = [_unpressed(x.as_py()) for x in t.column("payload")]
         size = np.cumsum([0] + [len(g[0]) for g in got])
-        word, sure = followers(np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got]), np.concatenate([g[1] for g in got]))
+        keys, after = [np.cumsum(g[0], dtype=np.uint32) for g in got], [g[1] for g in got]
+        del got
+        word, sure = np.empty(size[-1], np.uint32), np.empty(size[-1], np.int8)
+        bounds = np.linspace(0, 1 << 32, int(size[-1]) // SLICE + 2).astype(np.int64)
+        cuts = [np.searchsorted(k.astype(np.int64), bounds) for k in keys]
+        for s in range(len(bounds) - 1):
+            spans = [(c[s], c[s + 1]) for c in cuts]
+            w, u = followers(np.concatenate([k[a:z] for k, (a, z) in zip(keys, spans)]), np.concatenate([x[a:z] for x, (a, z) in zip(after, spans)]))
+            at = np.cumsum([0] + [z - a for a, z in spans])
+            for i, (a, z) in enumerate(spans):
+                word[size[i] + a : size[i] + z], sure[size[i] + a : size[i] + z] = w[at[i] : at[i + 1]], u[at[i] : at[i + 1]]
         rows = [(n.as_py(), b.as_py(), _pressed(word[size[i] : size[i + 1]], sure[size[i] : size[i + 1]].astype(np.int32).view(np.uint32))) for i, (n, b) in enumerate(zip(t.column("batch"), t.column("bucket")))]
         return pa.Table.from_batches([_sent(rows)])
 
-    def finish(t: pa.Table) -> pa.Table:
+    def finish(own: pa.Table, t: pa.Table) -> pa.Table:
         parts = {b.as_py(): x.as_py() for b, x in zip(t.column("bucket"), t.column("payload"))}
-        batch = pa.ipc.open_stream(parts.pop(-1)).read_all().combine_chunks()
+        if own.num_rows != 1:
+            raise ValueError("docs gave other rows when read again; write them first")
+        batch = pa.ipc.open_stream(own.column("payload")[0].as_py()).read_all().combine_chunks()
         buf, off = utf8(batch.column(1))
-        at, entry, _, _, _ = long_contexts(buf, off, nb)
+        at, entry, bucket, _, _ = long_contexts(buf, off, nb)
         got = [_unpressed(parts[int(b)]) for b in names if int(b) in parts]
         word = np.concatenate([np.zeros(0, np.uint32)] + [g[0] for g in got])
         sure = np.concatenate([np.zeros(0, np.uint32)] + [g[1] for g in got]).view(np.int32).astype(np.int8)
+        if len(word) != len(bucket):
+            raise ValueError("docs gave other rows when read again; write them first")
         bits = bits_of(buf, off, fold_of(batch.column(2).to_numpy()), shared.value, *guesses(buf, at, word[entry], sure[entry]))
         size = np.diff(off)
         bpb = np.round(bits / np.maximum(size, 1), 6)
         return pa.table([batch.column(0), pa.array(size.astype(np.int64)), pa.array(np.round(bits, 3)), pa.array(bpb, mask=size == 0)], names=[id_col, "n_bytes", "lm_bits", "lm_bpb"])
 
-    # written, so that names of batches stay true if a task is run again
-    sent = checkpointed(d.mapInArrow(send, SENT))
-    back = sent.where("bucket >= 0").repartition(nb, "bucket").groupBy("bucket").applyInArrow(predict, SENT)
-    return sent.where("bucket < 0").unionByName(back).repartition(4 * nb, "batch").groupBy("batch").applyInArrow(finish, f"`{id_col}` {kind}, n_bytes long, lm_bits double, lm_bpb double")
+    many = 4 * nb
+    guessed = d.mapInArrow(contexts, SENT).repartition(nb, "bucket").groupBy("bucket").applyInArrow(predict, SENT).repartition(many, "batch")
+    scored = d.mapInArrow(texts, SENT).repartition(many, "batch").groupBy("batch").cogroup(guessed.groupBy("batch"))
+    return scored.applyInArrow(finish, f"`{id_col}` {kind}, n_bytes long, lm_bits double, lm_bpb double")
 
 
 def _pressed(*columns: np.ndarray) -> bytes:
