@@ -80,18 +80,17 @@ def fold_of(buf_hash: np.ndarray) -> np.ndarray:
     return (buf_hash & 1).astype(np.int64)
 
 
-def count(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, into: list[list[np.ndarray]]) -> None:
-    """Adds how often each byte came in each row of each table."""
+def count(buf: np.ndarray, off: np.ndarray, fold: np.ndarray, into: list[np.ndarray]) -> None:
+    """Adds how often each byte came in each row of each table; a table of the second half follows that of the first."""
     if not len(buf):
         return
     padded = np.concatenate([np.zeros(8, np.uint8), buf])
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     rows = rows_of(padded, np.arange(len(buf)), off[row])
-    side = fold[row].astype(bool)
+    side = fold[row]
+    one = np.int32(1)
     for k, r in enumerate(rows):
-        cell = r * 256 + buf
-        into[0][k] += np.bincount(cell[~side], minlength=_ROWS[k] * 256).astype(np.int32)
-        into[1][k] += np.bincount(cell[side], minlength=_ROWS[k] * 256).astype(np.int32)
+        np.add.at(into[k], (side * _ROWS[k] + r) * 256 + buf, one)
 
 
 def huffman(freq: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
@@ -263,19 +262,20 @@ def _block(padded, at, row_start, side, lane, lanes, model, weights, apm, byte,
                 break
             if len(keep) < len(sym):
                 length_before = length
-                sym, lane, length, rows = sym[keep], lane[keep], length[keep], [r[keep] for r in rows]
+                sym, lane, length, rows = sym.take(keep), lane.take(keep), length.take(keep), [r.take(keep) for r in rows]
                 place = np.full(len(length_before), -1)
                 place[keep] = np.arange(len(keep))
                 on = place[on]
                 still = on >= 0
                 on, byte, strength = on[still], byte[still], strength[still]
-        node = model["node"][d][sym]
-        bit = model["bits"][d][sym].astype(np.float32)
-        st = [t[r + node].astype(np.float32) for t, r in zip(tables, rows)]
+        node = model["node"][d].take(sym)
+        ones = model["bits"][d].take(sym)
+        bit = ones.astype(np.float32)
+        st = [t.take(r + node).astype(np.float32) for t, r in zip(tables, rows)]
         w = weights[d]
-        dot = st[0] * w[0][lane]
+        dot = st[0] * w[0].take(lane)
         for k in range(1, P):
-            dot += st[k] * w[k][lane]
+            dot += st[k] * w[k].take(lane)
         if len(on):
             still = (model["node"][d][byte] == node[on]) & (model["length"][byte] > d)
             if not still.all():
@@ -293,9 +293,12 @@ def _block(padded, at, row_start, side, lane, lanes, model, weights, apm, byte,
         np.clip(cell, 0, APM_CELLS, out=cell)
         cell += lane.astype(np.int32) * (APM_CELLS + 1)
         refined = p * np.float32(1 - APM_SHARE)
-        refined += flat_apm[cell] * np.float32(APM_SHARE)
-        seen += np.bincount(cell, minlength=len(seen))
-        true += np.bincount(cell, bit, minlength=len(seen))
+        refined += flat_apm.take(cell) * np.float32(APM_SHARE)
+        cell *= 2
+        cell += ones
+        fell = np.bincount(cell, minlength=2 * len(seen)).reshape(-1, 2)
+        seen += fell.sum(1)
+        true += fell[:, 1]
         # probability of the bit that came
         refined *= 2 * bit - 1
         refined += 1 - bit
@@ -331,7 +334,7 @@ def gather(docs: DataFrame) -> DataFrame:
     """Counts of the corpus by half, order and part of the table. docs: text, and fold."""
 
     def one(batches):
-        into = [[np.zeros(n * 256, np.int32) for n in _ROWS] for _ in range(FOLDS)]
+        into = [np.zeros(FOLDS * n * 256, np.int32) for n in _ROWS]
         for batch in batches:
             buf, off = utf8(batch.column(0))
             fold = fold_of(batch.column(1).to_numpy())
@@ -340,7 +343,7 @@ def gather(docs: DataFrame) -> DataFrame:
         got = []
         for f in range(FOLDS):
             for k in range(len(ORDERS)):
-                for part, c in enumerate(np.split(into[f][k], PARTS)):
+                for part, c in enumerate(np.split(np.split(into[k], FOLDS)[f], PARTS)):
                     if c.any():
                         got.append((f, k, part, _payload(c)))
         if got:
