@@ -14,6 +14,10 @@ the sizes of all documents and the popularity of all grams:
 
 A set in a coarse band whose units don't exceed H is looked up by its grams instead: every other set that holds one of its first grams, as many as the
 threshold asks for, is a candidate. Candidates are verified exactly.
+
+Near copies of one text share most entries, and their pairs, in every bucket, would grow by the square of the copies. So entries that very many sets share
+(hot ones) aren't expanded into pairs: they only join their sets, step by step, into hot groups, and all pairs within such a group are verified by blocks, as products of matrices.
+Two sets of different hot groups, or of none, share no hot entry; those that agree are all among the others.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ POPULAR, CELLS = 0.0002, 1 << 22
 AGREE = 6
 #: Cost of a candidate pair, in index entries.
 PAIR_COST = 4.0
+#: An entry is hot if more sets share it than this and the popular share of the documents.
+HOT = 50
+#: Sets and grams of a hot group's block on average; a task has two.
+BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 19
 #: Candidate sets and probes of at most so many are found by a broadcast array, more by a shuffle or in several passes.
 BROADCAST_SETS, PROBES = 4_000_000, 2_000_000
 _WORD = byte_class("word")
@@ -256,8 +264,9 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _candidates(t_: float, bands: Bands, names: np.ndarray):
-    """Of a bucket of entries, blobs by part of a pair's smaller hash: each a with its bs, entries that agree, and those that must; members of sets; sets that lack units."""
+def _candidates(t_: float, bands: Bands, names: np.ndarray, hot: float = HOT):
+    """Of a bucket of entries, blobs by part of a pair's smaller hash: each a with its bs, entries that agree, and those that must; members of sets; sets that lack units; and for
+    entries that more than hot sets share, each of these with the smallest, and its size."""
 
     def run(t: pa.Table) -> pa.Table:
         sets, sizes, h, row, s2, d2, l2, base = [], [], [], [], [], [], [], 0
@@ -294,7 +303,11 @@ def _candidates(t_: float, bands: Bands, names: np.ndarray):
         who, looks, group = who[once], looks[once], group[once]
         many = np.bincount(group, minlength=len(edge))
         edge = np.cumsum(many) - many
-        look = np.flatnonzero(looks)
+        crowd = many > hot
+        at = np.flatnonzero(crowd[group])
+        star = np.unique((who[edge[group[at]]] << 32) | who[at])
+        star = np.stack([own[star >> 32], own[star & 0xFFFFFFFF], size[star & 0xFFFFFFFF]], 1)
+        look = np.flatnonzero(looks & ~crowd[group])
         cost = np.cumsum(many[group[look]])
         keys: list[np.ndarray] = [np.zeros(0, np.int64)]
         counts: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -334,27 +347,30 @@ def _candidates(t_: float, bands: Bands, names: np.ndarray):
         a, b, agree, need = a[order], b[order], np.minimum(agree[order], 255).astype(np.uint8), need[order].astype(np.uint8)
         member, lack = np.stack([d2[dup], s2[dup]], 1), np.stack([lack_d, lack_s], 1)
         out = []
-        at, am, al = (_part(v, len(names)) for v in (a, member[:, 1], lack[:, 1]))
-        for k in np.unique(np.concatenate([at, am, al])):
-            w, m, z = at == k, member[am == k], lack[al == k]
+        at, am, al, ah = (_part(v, len(names)) for v in (a, member[:, 1], lack[:, 1], star[:, 0]))
+        for k in np.unique(np.concatenate([at, am, al, ah])):
+            w, m, z, h = at == k, member[am == k], lack[al == k], star[ah == k]
             first, n = np.unique(a[w], return_counts=True)
-            out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(b[w]), len(m), len(z)], np.int64), first, b[w], m, z, n.astype(np.uint32), agree[w], need[w]))))
+            out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(b[w]), len(m), len(z), len(h)], np.int64), first, b[w], m, z, h, n.astype(np.uint32), agree[w], need[w]))))
         return pa.Table.from_batches([packed(out, names)])
 
     return run
 
 
 def _agreed(t: pa.Table) -> pa.Table:
-    """Pairs of sets that enough entries of all buckets agree on (kind 0), documents of sets that several have (1) and of sets that lack units (2)."""
-    a, b, agree, need, more = [], [], [], [], []
+    """Pairs of sets that enough entries of all buckets agree on (kind 0), documents of sets that several have (1) and of sets that lack units (2);
+    sets that share a hot entry (3), w is the size of b."""
+    a, b, agree, need, more, stars = [], [], [], [], [], [np.zeros((0, 3), np.int64)]
     for x in t.column("payload"):
         blob = x.as_buffer()
-        n, m, members, lack = (int(v) for v in np.frombuffer(blob, np.int64, 4))
-        at = 32
+        n, m, members, lack, star = (int(v) for v in np.frombuffer(blob, np.int64, 5))
+        at = 40
         first, own = np.frombuffer(blob, np.int64, n, at), np.frombuffer(blob, np.int64, m, at + 8 * n)
         at += 8 * (n + m)
         more += [(k, np.frombuffer(blob, np.int64, 2 * v, at + skip).reshape(-1, 2)) for k, v, skip in ((1, members, 0), (2, lack, 16 * members))]
         at += 16 * (members + lack)
+        stars.append(np.frombuffer(blob, np.int64, 3 * star, at).reshape(-1, 3))
+        at += 24 * star
         a.append(np.repeat(first, np.frombuffer(blob, np.uint32, n, at)))
         b.append(own)
         agree.append(np.frombuffer(blob, np.uint8, m, at + 4 * n))
@@ -366,8 +382,10 @@ def _agreed(t: pa.Table) -> pa.Table:
     if len(edge):
         keep = np.add.reduceat(agree[order].astype(np.int64), edge) >= np.maximum.reduceat(need[order], edge)
         a, b = a[edge[keep]], b[edge[keep]]
+    more.append((3, np.unique(np.concatenate(stars), axis=0)))
     kind = np.concatenate([np.zeros(len(a), np.int32), *(np.full(len(v), k, np.int32) for k, v in more)])
-    return pa.table({"kind": kind, "a": np.concatenate([a, *(v[:, 0] for _, v in more)]), "b": np.concatenate([b, *(v[:, 1] for _, v in more)])})
+    w = np.concatenate([np.zeros(len(kind) - len(more[-1][1]), np.int64), more[-1][1][:, 2]])
+    return pa.table({"kind": kind, "a": np.concatenate([a, *(v[:, 0] for _, v in more)]), "b": np.concatenate([b, *(v[:, 1] for _, v in more)]), "w": w})
 
 
 #: Bytes of a gram's hash that verification compares.
@@ -385,17 +403,84 @@ def _wide(b: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def _common(v: np.ndarray, row: np.ndarray, second: np.ndarray, one: bool) -> np.ndarray:
+    """Grams (v, of row) that each row of the first block has in common with each of the second one (second: which rows); if there is but one, all rows with all."""
+    order = np.argsort(v)
+    v, row = v[order], row[order]
+    gram = np.cumsum(np.append(True, v[1:] != v[:-1])[: len(v)]) - 1
+    place = np.where(second, np.cumsum(second), np.cumsum(~second)) - 1
+    if not one:
+        right = second[row]
+        (ga, ra), (gb, rb) = ((gram[k], place[row[k]]) for k in (~right, right))
+    else:
+        ga, ra = gb, rb = gram, row
+    na, nb = (len(second),) * 2 if one else (int(np.sum(~second)), int(np.sum(second)))
+    many = int(gram[-1]) + 1 if len(gram) else 0
+    ca, cb = np.bincount(ga, minlength=many), np.bincount(gb, minlength=many)
+    both = np.zeros(na * nb, np.float32)
+    # grams of many rows by products of matrices
+    dense = ca * cb * 400 > na * nb
+    column = np.cumsum(dense) - 1
+    for k in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((na, 1024), np.float32), np.zeros((nb, 1024), np.float32)
+        for m, g, r in ((x, ga, ra), (y, gb, rb)):
+            here = np.flatnonzero(dense[g] & (column[g] >= k) & (column[g] < k + 1024))
+            m[r[here], column[g[here]] - k] = 1
+        both += (x @ y.T).reshape(-1)
+    # those of few by their pairs of rows
+    from_b = np.cumsum(cb) - cb
+    todo = np.flatnonzero(~dense[ga] & (cb[ga] > 0))
+    cost = np.cumsum(cb[ga[todo]])
+    i = 0
+    while i < len(todo):
+        j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + (1 << 20), "right")))
+        g = ga[todo[i:j]]
+        n = cb[g]
+        r = rb[np.repeat(from_b[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at, times = np.unique(np.repeat(ra[todo[i:j]], n) * nb + r, return_counts=True)
+        both[at] += times
+        i = j
+    return both.reshape(na, nb)
+
+
+def _block(v: np.ndarray, at: np.ndarray, second: np.ndarray, one: bool, doc: np.ndarray, many: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets (grams v, from at on): the documents of similar ones, between both blocks or, if there is but one, within it, and the smallest doc that they join each with here. many: documents of each set."""
+    size = np.diff(at)
+    both = _common(v, np.repeat(np.arange(len(size)), size), second, one)
+    a, b = (np.arange(len(size)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+    near = np.zeros(both.shape, bool)
+    for k in range(0, len(a), 256):
+        x = both[k : k + 256].astype(np.float64)
+        near[k : k + 256] = x / (size[a[k : k + 256], None] + size[None, b] - x) >= threshold - 1e-12
+    del both
+    if one:
+        np.fill_diagonal(near, False)
+    links, root, last = np.zeros(len(size), np.int64), doc.copy(), np.iinfo(np.int64).max
+    ways = [(near, a, b)] if one else [(near, a, b), (near.T, b, a)]
+    for m, p, q in ways:
+        for k in range(0, len(p), 256):
+            links[p[k : k + 256]] = np.where(m[k : k + 256], many[None, q], 0).sum(1)
+    while True:
+        before = root.copy()
+        for m, p, q in ways:
+            for k in range(0, len(p), 256):
+                root[p[k : k + 256]] = np.minimum(root[p[k : k + 256]], np.where(m[k : k + 256], root[None, q], last).min(1, initial=last))
+        if (root == before).all():
+            return links, root
+
+
 #: Pairs that are verified in one task at most, on average.
 HOME_PAIRS = 1 << 17
 LABEL_ROUNDS = 1
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, copies: DataFrame, ngram: int, threshold: float) -> DataFrame:
-    """For each set of the candidate pairs (a, b) that is similar to another, in each task where it has such pairs: s, doc (the smallest id of its documents), n (its documents), links (the
+def _verified(pairs: DataFrame, blocks: DataFrame | None, docs: DataFrame, copies: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """For each set of the candidate pairs (a, b), or of blocks, that is similar to another, in each task where it has such pairs: s, doc (the smallest id of its documents), n (its documents), links (the
     documents of similar sets) and root, the smallest doc of those that similar pairs of this task join. The pairs stay in their task.
 
     A set goes once to each home where it has pairs: the smallest of the sets that LABEL_ROUNDS steps over pairs lead to from a,
-    which is mostly the same for a whole group. Homes of very many pairs are cut by both ends. copies: s, first, n of sets that several documents have."""
+    which is mostly the same for a whole group. Homes of very many pairs are cut by both ends. blocks: sets (s) of hot groups (h1), of every two blocks of a group (h2 < 0, h3) those of
+    the first (side 0) and of the second. copies: s, first, n of sets that several documents have."""
     ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(pairs.select("b", "a"))
     label = ends.groupBy("v").agg(F.least(F.min("u"), F.min("v")).alias("home"))
     for _ in range(LABEL_ROUNDS - 1):
@@ -407,10 +492,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, copies: DataFrame, ngram: int,
     part = lambda c: F.pmod(F.xxhash64(c), F.col("cut"))
     homed = homed.select("home", part("a").alias("pa"), part("b").alias("pb"), "a", "b")
     keys = ["home", "pa", "pb"]
-    needed = checkpointed(homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct().join(copies.select(F.col("s").alias("s2"), "first", "n"), F.col("s") == F.col("s2"), "left").select("s", F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), F.coalesce("first", F.lit(-(2**63))).alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
+    needed = homed.select(*keys, F.explode(F.array("a", "b")).alias("s")).distinct().select("s", F.col("home").alias("h1"), F.col("pa").alias("h2"), F.col("pb").alias("h3"), F.lit(0).cast("long").alias("side"))
+    if blocks is not None:
+        needed = needed.unionByName(blocks)
+    needed = checkpointed(needed.join(copies.select(F.col("s").alias("s2"), "first", "n"), F.col("s") == F.col("s2"), "left").select("s", "h1", "h2", "h3", "side", F.coalesce("first", F.lit(-(2**63))).alias("first"), F.coalesce("n", F.lit(0)).alias("n")))
     sent = _sets_of(docs, needed, ngram)
 
+    def rows(s, doc, many, links, root) -> pa.Table:
+        return pa.table([pa.array(x, pa.int64()) for x in (s, doc, many, links, root)], names=["s", "doc", "n", "links", "root"])
+
     def verify(p: pa.Table, q: pa.Table) -> pa.Table:
+        if len(q) and q.column("h2")[0].as_py() < 0:
+            s = q.column("s").to_numpy()
+            q = q.take(np.unique(s, return_index=True)[1])  # the same set from several batches
+            one = bool(q.column("h3")[0].as_py() == -1 - q.column("h2")[0].as_py())
+            s, d, first, n, side = (q.column(c).to_numpy() for c in ("s", "doc", "first", "n", "side"))
+            d, n = np.where(n > 0, first, d), np.maximum(n, 1)
+            g = [_wide(x.as_buffer()) for x in q.column("grams")]
+            links, root = _block(np.concatenate(g), np.concatenate([[0], np.cumsum([len(x) for x in g])]), side > 0, one, d, n, threshold)
+            k = links > 0
+            return rows(s[k], d[k], n[k], links[k], root[k])
         sets: dict = {}
         doc: dict = {}
         many: dict = {}
@@ -440,7 +541,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, copies: DataFrame, ngram: int,
                             a, b = b, a
                         up[a] = b
         own = [s for s in sets if links[s]]
-        return pa.table([pa.array(x, pa.int64()) for x in (own, [doc[s] for s in own], [many[s] for s in own], [links[s] for s in own], [doc[root(s)] for s in own])], names=["s", "doc", "n", "links", "root"])
+        return rows(own, [doc[s] for s in own], [many[s] for s in own], [links[s] for s in own], [doc[root(s)] for s in own])
 
     return homed.groupBy(*keys).cogroup(sent.groupBy("h1", "h2", "h3")).applyInArrow(verify, "s long, doc long, n long, links long, root long")
 
@@ -526,6 +627,16 @@ def _lookup(docs: DataFrame, sets: DataFrame, n: int, t: float) -> DataFrame:
     return out
 
 
+def _hot(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets that share hot entries (a, b, and w, the size of b): the hot group (root) of each set (doc), and the groups' blocks, see _verified()."""
+    group = components(stars.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")))
+    sized = group.join(stars.groupBy("b").agg(F.max("w").alias("w")), F.col("doc") == F.col("b")).select("doc", "root", "w")
+    cut = sized.groupBy(F.col("root").alias("h1")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("w") / BLOCK_GRAMS)).alias("cut"))
+    own = F.pmod(F.xxhash64("doc"), F.col("cut"))
+    blocks = sized.join(cut, F.col("root") == F.col("h1")).select(F.col("doc").alias("s"), "h1", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("other"))
+    return group, blocks.select("s", "h1", (-1 - F.least("own", "other")).alias("h2"), F.greatest("own", "other").alias("h3"), (F.col("own") > F.col("other")).cast("long").alias("side"))
+
+
 def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """What _verified() finds, and the documents (m) of each set (s) that several have."""
     spark = docs.sparkSession
@@ -554,15 +665,22 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
                     del got
                     yield _send(sig, row, looks, lacking, ids[lo:up], sets, size, names[:nb])
 
-    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, names), PACKED)
-    raw = checkpointed(found.groupBy("bucket").applyInArrow(_agreed, "kind int, a long, b long"))
+    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, names, max(HOT, POPULAR * int(sizes.sum()))), PACKED)
+    raw = checkpointed(found.groupBy("bucket").applyInArrow(_agreed, "kind int, a long, b long, w long"))
     pairs = raw.where("kind = 0").select("a", "b")
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()
     if lacking.count():
         pairs = checkpointed(pairs.union(_lookup(d, _sets_of(d, lacking, n), n, threshold)).distinct())
     members = raw.where("kind = 1").select(F.col("b").alias("s"), F.col("a").alias("m"))
     copies = members.groupBy("s").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
-    return _verified(pairs, d, copies, n, threshold), members
+    stars, blocks = raw.where("kind = 3"), None
+    if not stars.isEmpty():
+        group, blocks = _hot(stars)
+        # pairs within a hot group are verified there
+        group_of = lambda c: group.select(F.col("doc").alias(f"{c}_set"), F.col("root").alias(f"{c}_group"))
+        pairs = pairs.join(group_of("a"), F.col("a") == F.col("a_set"), "left").join(group_of("b"), F.col("b") == F.col("b_set"), "left").where("a_group is null or b_group is null or a_group <> b_group").select("a", "b")
+        pairs = checkpointed(pairs)
+    return _verified(pairs, blocks, d, copies, n, threshold), members
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, ngram: int, threshold: float) -> DataFrame:

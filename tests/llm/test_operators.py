@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -761,6 +762,52 @@ def test_homes_that_are_cut(spark, monkeypatch):
     assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_pairs_of_hot_groups(spark, monkeypatch, block):
+    """Entries of many sets join groups, whose pairs are verified by blocks; those without such entries go on as pairs."""
+    r = random.Random(block)
+    a, b = prose(r, 60, 3000), prose(r, 300, 3000)
+    docs = [(k, near(r, r.choice([a, a, b]), r.choice([0, 0.02, 0.1])), "s") for k in range(40)]
+    docs += [(40 + k, x, s) for k, x, s in copies(r, 30)]
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+
+
+def test_near_copies_dont_grow_by_their_square():
+    """What a bucket sends on of one text's near copies is some bytes a copy, not their pairs."""
+    sent = {}
+    for many in (200, 1600):
+        r = np.random.default_rng(6)
+        base = r.integers(0, 2**63, 100).astype(np.uint64)
+        sets = [np.unique(np.append(r.permutation(base)[:90], r.integers(0, 2**63, 5).astype(np.uint64))) for _ in range(many)]
+        x, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+        bands = jaccard.Bands(0.5)
+        sig, row, looks, lacking = jaccard.index(x, at, bands, np.zeros(0, np.uint8))
+        blob = jaccard._send(sig, row, looks, lacking, np.arange(many), jaccard.set_hash(x, at), np.diff(at), np.arange(1))
+        sent[many] = jaccard._candidates(0.5, bands, np.arange(4))(pa.Table.from_batches([blob])).nbytes
+    assert sent[1600] < 16 * sent[200] and sent[1600] < 500 * 1600
+
+
+def test_blocks():
+    """Common grams, links and smallest ids of two blocks and of one, by comparing sets."""
+    r = random.Random(2)
+    for one in (True, False):
+        for rows in (0, 1, 30, 90):
+            pool = [r.getrandbits(48) for _ in range(40)]
+            sets = [set(r.sample(pool, r.randrange(1, 30))) | {r.getrandbits(48) for _ in range(r.randrange(9))} for _ in range(rows)]
+            side = np.array([not one and r.random() < 0.3 for _ in sets], bool)
+            doc, many = np.array(r.sample(range(1000), rows), np.int64), np.array([r.randrange(1, 4) for _ in sets], np.int64)
+            v = np.array([x for s in sets for x in s], np.uint64)
+            links, root = jaccard._block(v, np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), side, one, doc, many, 0.4)
+            pairs = [(i, j) for i in range(rows) for j in range(rows) if i != j and (one or side[i] != side[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.4]
+            want = doc.tolist()
+            for _ in range(rows):
+                for i, j in pairs:
+                    want[i] = min(want[i], want[j])
+            assert root.tolist() == want and links.tolist() == [sum(int(many[j]) for i, j in pairs if i == k) for k in range(rows)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(30, 31), (40, 30)], "doc_id_a long, doc_id_b long")
     assert {x.doc: x.root for x in jaccard.components(e).collect()} == {**{k: 1 for k in range(1, 21)}, 30: 30, 31: 30, 40: 30}
