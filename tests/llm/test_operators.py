@@ -774,6 +774,16 @@ def test_pairs_of_hot_groups(spark, monkeypatch, block):
     assert classes_of(frame(spark, docs)) == slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
 
 
+def test_keep_one_of_hot_groups(spark, monkeypatch):
+    """The pipeline's stage keeps the smallest id of each class also where entries are hot."""
+    r = random.Random(14)
+    a = prose(r, 80, 3000)
+    docs = [(k, near(r, a, 0.03), "s") for k in range(20)] + [(20 + k, x, s) for k, x, s in copies(r, 20)]
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    want = slow_classes(docs, jaccard.NGRAM, jaccard.THRESHOLD)
+    assert sorted(x.doc_id for x in jaccard.keep_one(frame(spark, docs)).collect()) == sorted(i for i, (c, _) in want.items() if c == i)
+
+
 def test_near_copies_dont_grow_by_their_square():
     """What a bucket sends on of one text's near copies is some bytes a copy, not their pairs."""
     sent = {}
