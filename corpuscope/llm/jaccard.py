@@ -23,6 +23,8 @@ Two sets of different hot groups, or of none, share no hot entry; those that agr
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,14 @@ NGRAM = 4
 THRESHOLD = 0.5
 #: Grams of a coarse segment on average; bands of smaller sets are always fine.
 DELETION, SMALL = 2.0, 150
-#: A gram is popular from this share of the documents on; cells of the table of popularity, by hash.
-POPULAR, CELLS = 0.0002, 1 << 22
+#: Cells of the table of popularity, by hash of the gram; one is popular if it exceeds the mean by so many roots of the mean, which chance doesn't, and so many more.
+CELLS, ABOVE = 1 << 24, (5.0, 5.0)
 #: Fine segments that must agree.
 AGREE = 6
 #: Cost of a candidate pair, in index entries.
 PAIR_COST = 4.0
-#: An entry is hot if more sets share it than this and the popular share of the documents.
-HOT = 50
+#: An entry is hot if more sets share it than this and this share of the documents.
+HOT, HOT_SHARE = 50, 0.0002
 #: Sets and grams of a hot group's block on average; a task has two.
 BLOCK_SETS, BLOCK_GRAMS = 2048, 1 << 19
 #: Candidate sets and probes of at most so many are found by a broadcast array, more by a shuffle or in several passes.
@@ -173,51 +175,50 @@ def index(x: np.ndarray, at: np.ndarray, bands: Bands, popular: np.ndarray) -> t
 PARTS = 16
 
 
+def _popular(cells: np.ndarray) -> tuple[np.ndarray, float]:
+    """Levels of popularity, 0 for cells that aren't popular; and the pairs of grams, in either order, that the others hold beyond those that fall into one cell by chance."""
+    mean = cells.mean()
+    many = cells - mean
+    high = many > ABOVE[0] * np.sqrt(mean) + ABOVE[1]
+    rest = cells[~high].astype(np.float64)
+    level = np.where(high, np.minimum(8 * (1 + np.log2(np.maximum(many, 1))), 255), 0).astype(np.uint8)
+    return level, float((rest * (rest - 1)).sum() - rest.sum() ** 2 / max(1, len(rest)))
+
+
 def _statistics(docs: DataFrame, n: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, float]:
-    """Documents by band; levels of popularity by cell; unpopular grams that two documents share. Over all documents; of a task's cells those count that
-    reach half of the popular share among its own. Which pairs are found doesn't depend on the levels."""
+    """Documents by band; levels of popularity by cell; unpopular grams that two documents share, on average. Over all documents, however they are cut into tasks.
+    Which pairs are found doesn't depend on the levels."""
 
     def count(batches):
-        cells, sizes, total = np.zeros(CELLS, np.int32), np.zeros(len(bands.low), np.int64), 0
+        cells, sizes = np.zeros(CELLS, np.uint32), np.zeros(len(bands.low), np.int64)
         for batch in batches:
             buf, off = utf8(batch.column(0), lower=True)
-            for i, j in chunks(off, 4 * CHUNK):
+            for i, j in chunks(off):
                 x, at = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-                np.add(cells, np.bincount((x & np.uint64(CELLS - 1)).view(np.int64), minlength=CELLS), out=cells, casting="unsafe")
+                np.add.at(cells, (x & np.uint64(CELLS - 1)).view(np.int64), np.uint32(1))
                 size = np.diff(at)
                 sizes += np.bincount(bands.of(size[size > 0]), minlength=len(sizes))
-                total += int((size > 0).sum())
-        if not total:
-            return
-        least = max(1, POPULAR / 2 * total)
-        rest = np.where(cells <= least, cells, 0).astype(np.float64)
-        f2 = float((rest * (rest - 1)).sum()) / total
-        for k, c in enumerate(np.split(cells, PARTS)):
-            high = c > least
-            high[::200] = True  # so that gaps fit a byte
-            high = np.flatnonzero(high)
-            gaps, many = np.diff(high, prepend=0).astype(np.uint8), c[high].astype("<u4").view(np.uint8).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([gaps.tobytes() + np.ascontiguousarray(many).tobytes()]), pa.array([sizes.tobytes() if k == 0 else b""]), pa.array([f2 if k == 0 else 0.0])], names=["part", "cells", "sizes", "f2"])
+        if sizes.any():
+            for k, c in enumerate(np.split(cells, PARTS)):  # planes of bytes, mostly 0
+                c = zlib.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.binary()), pa.array([sizes.tobytes() if k == 0 else b""], pa.binary()), pa.array([0.0])], names=["part", "cells", "sizes", "f2"])
 
     def add(t: pa.Table) -> pa.Table:
         cells, sizes = np.zeros(CELLS // PARTS, np.int64), np.zeros(len(bands.low), np.int64)
-        for c, z in zip(t.column("cells").to_pylist(), t.column("sizes").to_pylist()):
-            c = np.frombuffer(c, np.uint8).reshape(5, -1)
-            cells[np.cumsum(c[0], dtype=np.int64)] += np.ascontiguousarray(c[1:].T).view("<u4").reshape(-1)
-            sizes += np.frombuffer(z, np.int64) if z else 0
-        high = np.flatnonzero(cells >= POPULAR * total)
-        return pa.table({"part": t.column("part")[:1], "cells": pa.array([np.concatenate([high, cells[high]]).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "f2": [sum(t.column("f2").to_pylist())]})
-
-    total = max(1, docs.count())
+        for c, z in zip(t.column("cells"), t.column("sizes")):
+            cells += np.ascontiguousarray(np.frombuffer(zlib.decompress(c.as_buffer()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+            if len(z := z.as_py()):
+                sizes += np.frombuffer(z, np.int64)
+        level, f2 = _popular(cells)
+        return pa.table({"part": t.column("part")[:1], "cells": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "f2": [f2]})
+
     shape = "part int, cells binary, sizes binary, f2 double"
     sizes, level, f2 = np.zeros(len(bands.low), np.int64), np.zeros(CELLS, np.uint8), 0.0
-    for r in docs.mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect():  # PARTS rows, of popular cells only: there are at most some hundred for 1 / POPULAR
-        c = np.frombuffer(r["cells"], np.int64)
-        share = c[len(c) // 2 :] / total
-        level[c[: len(c) // 2] + r["part"] * (CELLS // PARTS)] = np.minimum(8 * (1 + np.log2(np.maximum(share / POPULAR, 1))), 255).astype(np.uint8)
+    for r in docs.mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect():  # PARTS rows, of a byte a cell at most
+        level[r["part"] * (CELLS // PARTS) :][: CELLS // PARTS] = np.frombuffer(zlib.decompress(r["cells"]), np.uint8)
         sizes += np.frombuffer(r["sizes"], np.int64)
         f2 += r["f2"]
-    return sizes, level, f2 / total
+    return sizes, level, max(0.0, f2) / max(1, int(sizes.sum())) ** 2
 
 
 #: Bits of signatures within a bucket; entries that differ beyond them agree by mistake, which verification mends.
@@ -264,11 +265,21 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
+#: Candidate pairs that a bucket holds at once, before equal ones are summed.
+SLICE = 1 << 22
+
+
 def _candidates(t_: float, bands: Bands, names: np.ndarray, hot: float = HOT):
+    """_candidate_slices() as one table."""
+    run = _candidate_slices(t_, bands, names, hot)
+    return lambda t: pa.Table.from_batches(run(t))
+
+
+def _candidate_slices(t_: float, bands: Bands, names: np.ndarray, hot: float = HOT):
     """Of a bucket of entries, blobs by part of a pair's smaller hash: each a with its bs, entries that agree, and those that must; members of sets; sets that lack units; and for
-    entries that more than hot sets share, each of these with the smallest, and its size."""
+    entries that more than hot sets share, each of these with the smallest, and its size. The pairs come by slices of the sets that look others up, so that memory doesn't grow with them."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         sets, sizes, h, row, s2, d2, l2, base = [], [], [], [], [], [], [], 0
         for x in t.column("payload"):
             blob = x.as_buffer()
@@ -307,31 +318,6 @@ def _candidates(t_: float, bands: Bands, names: np.ndarray, hot: float = HOT):
         at = np.flatnonzero(crowd[group])
         star = np.unique((who[edge[group[at]]] << 32) | who[at])
         star = np.stack([own[star >> 32], own[star & 0xFFFFFFFF], size[star & 0xFFFFFFFF]], 1)
-        look = np.flatnonzero(looks & ~crowd[group])
-        cost = np.cumsum(many[group[look]])
-        keys: list[np.ndarray] = [np.zeros(0, np.int64)]
-        counts: list[np.ndarray] = [np.zeros(0, np.int64)]
-        held, limit, i = 0, 1 << 20, 0
-        while i < len(look):
-            j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + (1 << 19), "right")))
-            g = group[look[i:j]]
-            n = many[g]
-            a = np.repeat(who[look[i:j]], n)
-            b = who[np.repeat(edge[g], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
-            # the larger looks up the smaller, of equal ones the first the second
-            near = ((size[b] < size[a]) | ((size[b] == size[a]) & (a < b))) & (size[b] >= t_ * size[a] - 1e-9)
-            k, c = np.unique((a[near] << 32) | b[near], return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            held += len(k)
-            if held > limit:
-                k, c = _summed(keys, counts)
-                keys, counts, held, limit = [k], [c], 0, max(1 << 20, len(k) // 2)
-            i = j
-        both, agree = _summed(keys, counts)
-        a, b = own[both >> 32], own[both & 0xFFFFFFFF]
-        large, small = size[both >> 32], size[both & 0xFFFFFFFF]
-        need = np.where(bands.coarse[bands.of(large)] if len(large) else False, 1, np.minimum(AGREE, np.minimum(_least(large, t_), _least(small, t_))))
         # documents of sets that several documents have, and of sets that lack units
         lack = np.flatnonzero(l2 > 0)
         lack = lack[np.unique(s2[lack], return_index=True)[1]]
@@ -342,21 +328,55 @@ def _candidates(t_: float, bands: Bands, names: np.ndarray, hot: float = HOT):
         s2, d2 = s2[once], d2[once]
         _, w, n = np.unique(s2, return_inverse=True, return_counts=True)
         dup = n[w] > 1
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a))
-        a, b, agree, need = a[order], b[order], np.minimum(agree[order], 255).astype(np.uint8), need[order].astype(np.uint8)
-        member, lack = np.stack([d2[dup], s2[dup]], 1), np.stack([lack_d, lack_s], 1)
-        out = []
-        at, am, al, ah = (_part(v, len(names)) for v in (a, member[:, 1], lack[:, 1], star[:, 0]))
-        for k in np.unique(np.concatenate([at, am, al, ah])):
-            w, m, z, h = at == k, member[am == k], lack[al == k], star[ah == k]
-            first, n = np.unique(a[w], return_counts=True)
-            out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(b[w]), len(m), len(z), len(h)], np.int64), first, b[w], m, z, h, n.astype(np.uint32), agree[w], need[w]))))
-        return pa.Table.from_batches([packed(out, names)])
+        member, lack, none = np.stack([d2[dup], s2[dup]], 1), np.stack([lack_d, lack_s], 1), np.zeros(0, np.int64)
+        yield _pairs_out(none, none, none, none, member, lack, star, names)
+        # each pair is found by one of its sets only, so a slice has all entries that agree
+        look = np.flatnonzero(looks & ~crowd[group])
+        look = look[np.argsort(who[look], kind="stable")]
+        cost = np.cumsum(many[group[look]])
+        ends = np.append(np.flatnonzero(np.diff(who[look])) + 1, len(look)) if len(look) else none
+        i = 0
+        while i < len(look):
+            limit = (cost[i - 1] if i else 0) + SLICE
+            stop = max(int(np.searchsorted(ends, i, "right")), int(np.searchsorted(cost[ends - 1], limit, "right")) - 1)
+            stop = int(ends[stop])
+            keys: list[np.ndarray] = [none]
+            counts: list[np.ndarray] = [none]
+            while i < stop:
+                j = min(stop, max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + (1 << 19), "right"))))
+                g = group[look[i:j]]
+                n = many[g]
+                a = np.repeat(who[look[i:j]], n)
+                b = who[np.repeat(edge[g], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
+                # the larger looks up the smaller, of equal ones the first the second
+                near = ((size[b] < size[a]) | ((size[b] == size[a]) & (a < b))) & (size[b] >= t_ * size[a] - 1e-9)
+                k, c = np.unique((a[near] << 32) | b[near], return_counts=True)
+                keys.append(k)
+                counts.append(c)
+                i = j
+            both, agree = _summed(keys, counts)
+            if len(both):
+                large, small = size[both >> 32], size[both & 0xFFFFFFFF]
+                need = np.where(bands.coarse[bands.of(large)], 1, np.minimum(AGREE, np.minimum(_least(large, t_), _least(small, t_))))
+                yield _pairs_out(own[both >> 32], own[both & 0xFFFFFFFF], agree, need, member[:0], lack[:0], star[:0], names)
 
     return run
 
 
+def _pairs_out(a: np.ndarray, b: np.ndarray, agree: np.ndarray, need: np.ndarray, member: np.ndarray, lack: np.ndarray, star: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Blobs by part, see _candidate_slices()."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, agree, need = a[order], b[order], np.minimum(agree[order], 255).astype(np.uint8), need[order].astype(np.uint8)
+    (oa, ba), (om, bm), (ol, bl), (oh, bh) = (split_by(_part(v, len(names)), len(names)) for v in (a, member[:, 1], lack[:, 1], star[:, 0]))
+    out = []
+    for k in np.flatnonzero((np.diff(ba) > 0) | (np.diff(bm) > 0) | (np.diff(bl) > 0) | (np.diff(bh) > 0)):
+        w, m, z, h = oa[ba[k] : ba[k + 1]], member[om[bm[k] : bm[k + 1]]], lack[ol[bl[k] : bl[k + 1]]], star[oh[bh[k] : bh[k + 1]]]
+        first, n = np.unique(a[w], return_counts=True)
+        out.append((int(k), b"".join(v.tobytes() for v in (np.array([len(first), len(w), len(m), len(z), len(h)], np.int64), first, b[w], m, z, h, n.astype(np.uint32), agree[w], need[w]))))
+    return packed(out, names)
+
+
 def _agreed(t: pa.Table) -> pa.Table:
     """Pairs of sets that enough entries of all buckets agree on (kind 0), documents of sets that several have (1) and of sets that lack units (2);
     sets that share a hot entry (3), w is the size of b."""
@@ -665,7 +685,12 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, ngram: int, thres
                     del got
                     yield _send(sig, row, looks, lacking, ids[lo:up], sets, size, names[:nb])
 
-    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(_candidates(threshold, bands, names, max(HOT, POPULAR * int(sizes.sum()))), PACKED)
+    slices = _candidate_slices(threshold, bands, names, max(HOT, HOT_SHARE * int(sizes.sum())))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from slices(pa.Table.from_batches(batches))
+
+    found = d.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(candidates, PACKED)
     raw = checkpointed(found.groupBy("bucket").applyInArrow(_agreed, "kind int, a long, b long, w long"))
     pairs = raw.where("kind = 0").select("a", "b")
     lacking = raw.where("kind = 2").select(F.col("b").alias("s")).distinct()

@@ -799,6 +799,37 @@ def test_near_copies_dont_grow_by_their_square():
     assert sent[1600] < 16 * sent[200] and sent[1600] < 500 * 1600
 
 
+def test_popularity_does_not_depend_on_tasks(spark, monkeypatch):
+    """Grams that only share a cell by chance are no shared grams, however many a task counts; one of a third of the documents is popular."""
+    monkeypatch.setattr(jaccard, "CELLS", 1 << 12)
+    rng = np.random.default_rng(1)
+    docs = [(k, "the same four words " * (k % 3 == 0) + " ".join(map(str, rng.integers(0, 1 << 40, 180)))) for k in range(600)]
+    got = []
+    for parts in (1, 6):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        sizes, level, single = jaccard._statistics(df.select("text"), jaccard.NGRAM, jaccard.Bands(0.5))
+        assert sizes.sum() == 600 and 0 < (level > 0).sum() < 40 and single < 0.3  # by chance 180 * 180 / 4096 = 7.9
+        got.append((sizes.tolist(), level.tolist()))
+    assert got[0] == got[1]
+
+
+def test_candidates_in_slices(monkeypatch):
+    """Slices hold few pairs each, and all the same ones."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.append(rng.choice(base, 40, replace=False), rng.integers(0, 1 << 60, 20))).astype(np.uint64) for _ in range(30)]
+    x, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+    bands = jaccard.Bands(0.5)
+    sig, row, looks, lacking = jaccard.index(x, at, bands, np.zeros(0, np.uint8))
+    blob = pa.Table.from_batches([jaccard._send(sig, row, looks, lacking, np.arange(30), jaccard.set_hash(x, at), np.diff(at), np.arange(1))])
+    whole = [b for b in jaccard._candidate_slices(0.5, bands, np.arange(1))(blob)]
+    monkeypatch.setattr(jaccard, "SLICE", 100)
+    slices = [b for b in jaccard._candidate_slices(0.5, bands, np.arange(1))(blob)]
+    assert len(whole) == 2 and len(slices) > 10 and max(b.nbytes for b in slices) < whole[1].nbytes / 3
+    pairs = [sorted(zip(*jaccard._agreed(pa.Table.from_batches(v)).to_pydict().values())) for v in (whole, slices)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_blocks():
     """Common grams, links and smallest ids of two blocks and of one, by comparing sets."""
     r = random.Random(2)
