@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 from pathlib import Path
 from urllib.parse import urljoin
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,23 +115,36 @@ def lemma_of(word: str) -> str:
     return w[:-1] if re.search("^[a-z]{2,}[^su]s$", w) else w
 
 
+def stem_counts(texts: pa.Array, merge_ai: bool = False) -> pa.Array:
+    """Lemma counts by name of each text. Entries go into Arrow arrays text by text, so a batch takes about its own bytes, not an object for each entry."""
+    cached = lru_cache(1 << 16)(lemma_of)
+    at, numbers, names, held = array("i", [0]), array("q"), [], []
+    for t in texts:
+        t = t.as_py()
+        c = Counter(map(cached, re.findall(r"\w+|[^\w\s]", t.lower()))) if t else {}
+        if merge_ai:
+            c.pop("ai", None)
+        for k in sorted(c):
+            held.append(k)
+            numbers.append(c[k])
+        at.append(len(numbers))
+        if len(held) > 1 << 16:
+            names.append(pa.array(held, pa.string()))
+            held = []
+    names.append(pa.array(held, pa.string()))
+    entries = pa.StructArray.from_arrays([pa.concat_arrays(names), pa.array(np.array(numbers, np.int64))], ["stem", "occurrences"])
+    return pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), entries)
+
+
 def stems(text: Column, merge_ai: bool = False) -> Column:
     """Lemma counts by name, and one more entry for standing-alone "ai" where there are any; equal keys aren't merged unless asked for.
 
     Lemmas are counted in Python over Arrow batches: a cache of words is much faster than rules for each word of each text.
     """
 
-    @F.pandas_udf("array<struct<stem:string,occurrences:bigint>>")
-    def count(x: pd.Series) -> pd.Series:
-        cached = lru_cache(1 << 18)(lemma_of)
-
-        def one(t):
-            c = Counter(map(cached, re.findall(r"\w+|[^\w\s]", t.lower()))) if t else {}
-            if merge_ai:
-                c.pop("ai", None)
-            return [{"stem": k, "occurrences": n} for k, n in sorted(c.items())]
-
-        return pd.Series([one(t) for t in x], dtype=object)
+    @F.arrow_udf("array<struct<stem:string,occurrences:bigint>>")
+    def count(x: pa.Array) -> pa.Array:
+        return stem_counts(x, merge_ai)
 
     n = ai_mentions(text)
     return F.concat(count(text), F.when(n > 0, F.array(F.struct(F.lit("ai").alias("stem"), n.alias("occurrences")))).otherwise(F.array().cast("array<struct<stem:string,occurrences:bigint>>")))

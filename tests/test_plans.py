@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from corpuscope.functions import text
 from corpuscope.operators import graph, relational
 from corpuscope.plans import charts, classify, marts, questions, stages
 
@@ -161,3 +162,10 @@ def test_news_flows_in_one_pass(net):
     p = questions.news_predicates()
     got = {(r.source, r.topic): r.outflow for r in questions.news_flows(*net, p).collect()}
     assert got == {(k, r.topic): r.outflow for k in p for r in questions.news_flow(*net, p[k]).collect()}
+
+
+def test_consolidate_works_texts_out_once(spark):
+    """The text's expression, its split into words and the links' pattern are in the plan once, not in each filter and column that uses them."""
+    d = spark.createDataFrame([("text/html", 2000, "http://a.org/", "<p>the</p>")], "content_type string, content_length int, target_uri string, body string")
+    plan = stages.consolidate(d, extract=text.tag_text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<script") == 1 and plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 1

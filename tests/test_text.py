@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,17 @@ def test_counted_and_stems(spark):
     assert col(spark, ["", None], text.stems) == [[], []]
 
 
+def test_stems_take_no_object_for_each_entry():
+    """A batch's entries are never held as Python objects all at once: of 500,000 they took over 100 MB."""
+    x = pa.array([" ".join(f"w{i}x{k}" for k in range(500)) for i in range(1000)] + [None, ""])
+    tracemalloc.start()
+    out = text.stem_counts(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1002 and len(out.flatten()) == 500_000 and out[1000].as_py() == out[1001].as_py() == []
+    assert peak < 60e6, peak
+
+
 def test_hrefs_and_link_hosts(spark):
     html = '<a class="k" href="/x">1</a><a href="">2</a><a href="http://B.com/y">3</a><a href="//c.org">4</a><a href="mailto:q@r">5</a>'
     d = spark.createDataFrame([("https://A.com/p", html)], "base string, html string").select("base", F.explode(text.hrefs(F.col("html"))).alias("h"))
