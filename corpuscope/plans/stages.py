@@ -34,8 +34,11 @@ def consolidate(records: DataFrame, detect: Callable = text.languages, extract:
 
 def stub_scorer(texts: pd.Series) -> pd.DataFrame:
     """A stand-in for a model: the share of distinct words, squashed. Repeats look machine-made."""
-    words = texts.fillna("").str.split()
-    ai = 1 - words.map(lambda w: len(set(w)) / len(w) if w else 1.0)
+    def distinct(text: str) -> float:  # the words of one text at a time
+        w = text.split()
+        return len(set(w)) / len(w) if w else 1.0
+
+    ai = 1 - texts.fillna("").map(distinct)
     return pd.DataFrame({"predicted_label": ["ai" if a > 0.5 else "human" for a in ai], "human": 1 - ai, "ai": ai})
 
 

@@ -1,10 +1,12 @@
 import tracemalloc
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text
+from corpuscope.plans import stages
 
 
 def col(spark, values, f, kind="string"):
@@ -62,6 +64,16 @@ def test_stems_take_no_object_for_each_entry():
     assert peak < 60e6, peak
 
 
+def test_scorer_takes_one_text_at_a_time():
+    """Words of a batch's texts aren't held all at once: 2,000,000 words took over 100 MB."""
+    x = pd.Series([" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(1000)] + [None, "", "a a a b"])
+    tracemalloc.start()
+    out = stages.stub_scorer(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["ai"].tolist() == [0.0] * 1002 + [0.5] and peak < 20e6, peak
+
+
 def test_hrefs_and_link_hosts(spark):
     html = '<a class="k" href="/x">1</a><a href="">2</a><a href="http://B.com/y">3</a><a href="//c.org">4</a><a href="mailto:q@r">5</a>'
     d = spark.createDataFrame([("https://A.com/p", html)], "base string, html string").select("base", F.explode(text.hrefs(F.col("html"))).alias("h"))
