@@ -259,10 +259,12 @@ STOPWORDS = {"en": "the of and to in is that it was for on are with as this", "d
 
 def languages(text: Column) -> Column:
     """The two best languages with scores: shares of a text's words that are a language's stop words."""
-    t = tokens(F.lower(text))
 
-    def share(ws: str) -> Column:
-        return F.size(F.filter(t, lambda x: x.isin(*ws.split()))) / F.greatest(F.size(t), F.lit(1))
+    def best(t: Column) -> Column:
+        def share(ws: str) -> Column:
+            return F.size(F.filter(t, lambda x: x.isin(*ws.split()))) / F.greatest(F.size(t), F.lit(1))
 
-    scores = [F.struct(share(ws).alias("score"), F.lit(k).alias("lang")) for k, ws in sorted(STOPWORDS.items())]
-    return F.transform(F.slice(F.sort_array(F.array(*scores), asc=False), 1, 2), lambda s: F.struct(s["lang"].alias("lang"), F.round(s["score"], 6).alias("score")))
+        scores = [F.struct(share(ws).alias("score"), F.lit(k).alias("lang")) for k, ws in sorted(STOPWORDS.items())]
+        return F.transform(F.slice(F.sort_array(F.array(*scores), asc=False), 1, 2), lambda s: F.struct(s["lang"].alias("lang"), F.round(s["score"], 6).alias("score")))
+
+    return F.transform(F.array(tokens(F.lower(text))), best)[0]  # the words are bound, so that the text is split once

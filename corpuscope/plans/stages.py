@@ -24,9 +24,12 @@ def consolidate(records: DataFrame, detect: Callable = text.languages, extract:
     another type, or too short goes. Links count by host, relative ones too.
     """
     r = records.where((F.col("content_type") == "text/html") & (F.col("content_length") >= MIN_RECORD) & F.col("target_uri").isNotNull())
-    r = r.withColumn("text", extract(F.col("body"))).where(F.col("text").isNotNull())
-    r = r.withColumn("lang", detect(F.col("text"))).where(F.get("lang", 0)["lang"] == "en")
-    hosts = F.filter(F.transform(text.hrefs(F.col("body")), lambda h: text.link_host(F.col("target_uri"), h)), lambda h: h.isNotNull())
+    # a filter over a generator's column isn't pushed below it, where the column's whole expression would be worked out once more for each of its uses
+    once = lambda d, c, name: d.select("*", F.stack(F.lit(1), c).alias(name))
+    r = once(r.select("target_uri", "body"), extract(F.col("body")), "text").where(F.col("text").isNotNull())
+    r = once(r, detect(F.col("text")), "lang").where(F.get("lang", 0)["lang"] == "en")
+    r = once(r, F.filter(F.transform(text.hrefs(F.col("body")), lambda h: text.link_host(F.col("target_uri"), h)), lambda h: h.isNotNull()), "_h")
+    hosts = F.col("_h")
     r = r.withColumn("_c", text.counted(hosts))
     flow = F.when(F.size(hosts) > 0, F.map_from_entries(F.transform("_c", lambda c: F.struct(c["stem"], c["occurrences"])))).otherwise(F.create_map().cast("map<string,bigint>"))
     return r.select(text.host(F.col("target_uri")).alias("host"), F.col("target_uri").alias("url"), "lang", flow.alias("outflow"), "text")
